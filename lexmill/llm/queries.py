@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import neardup, repeated, splitting, tokens
+from lexmill.llm import neardup, packing, quality, repeated, splitting, tokens
+from lexmill.session import materialise
 from lexmill.tables import table
 
 
@@ -53,6 +54,29 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
 
 
+def p9_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialise(tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.pack(sizes, 2048).select(F.col("id").alias("doc_id"), "part_no", F.col("first").alias("first_token"), F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def _common(spark: SparkSession, sf_dir: str) -> frozenset[str]:
+    """The table of function words does not grow."""
+    return frozenset(r["word"].lower() for r in table(spark, sf_dir, "common_word").where("word IS NOT NULL").collect())
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text", _common(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = quality.text_kinds(materialise(_statistics(spark, sf_dir)))
+    return kinds.where("kind <> 'prose'").select(F.col("id").alias("doc_id"), "kind")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
 _P1 = r"""
 WITH docs AS (SELECT id, regulator_code AS r, extracted_text AS t FROM document WHERE extracted_text IS NOT NULL AND regulator_code IS NOT NULL),
 split AS (SELECT id, r, string_split(t, chr(10)) AS l FROM docs),
@@ -86,7 +110,7 @@ FROM most
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids}
+    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
