@@ -47,14 +47,14 @@ class Reader:
         if s.count("�") > 0.08 * n:
             return "junk"
         if not letters and not digits:
-            return "table" if "|" in s or s.startswith("+") and "--" in s or "|--" in s else "junk"
+            return "table" if "--" in s and ("|" in s or "+" in s) else "junk"
         symbols = dense - letters - digits
         if self.leader(s):
             return "list" if letters > 3 else "junk"
         if s.count("|") >= 2 and "||" not in s:
             return "table"
         gaps = len(self.gaps(s)) if "\t" in s or "  " in s else 0
-        if gaps >= 2 and len(words) <= 3 * (gaps + 1):
+        if gaps >= 2 and len(words) <= 3 * (gaps + 1) and share < 0.15:
             return "table"
         if s.count(",") >= 2 and len(words) <= 3 and (digits or s.count(",") >= 3):
             return "table"

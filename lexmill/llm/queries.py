@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import neardup, packing, quality, repeated, splitting, tokens
+from lexmill.llm import neardup, packing, quality, repeated, scanned, splitting, tokens
 from lexmill.session import materialise
 from lexmill.tables import table
 
@@ -28,6 +28,21 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_lines(documents, repeated.repeated_lines(documents)).select("document_id", "text")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(scanned items, clean texts) of pdf_text and document."""
+    pdf = table(spark, sf_dir, "pdf_text").select("attachment_id", "document_id", F.coalesce("ocr_used", F.lit(False)).alias("ocr"), "text")
+    document = table(spark, sf_dir, "document").select("id", "title", F.col("extracted_text").alias("text")).where("text IS NOT NULL")
+    moved = pdf.where("ocr AND text IS NULL").select(F.col("document_id").alias("id")).distinct()
+    of_pdf = pdf.where("ocr AND text IS NOT NULL").select(F.lit("pdf_text").alias("item_table"), F.col("attachment_id").alias("item_id"), F.lit(None).cast("string").alias("title"), "text")
+    of_document = document.join(moved, "id", "left_semi").select(F.lit("document").alias("item_table"), F.col("id").alias("item_id"), "title", "text")
+    clean = document.join(moved, "id", "left_anti").select("text").unionByName(pdf.where("NOT ocr AND text IS NOT NULL").select("text"))
+    return of_pdf.unionByName(of_document), clean
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.noise(*_scans(spark, sf_dir))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "document").select("id", "title", F.col("extracted_text").alias("text"))
 
@@ -110,7 +125,7 @@ FROM most
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
