@@ -31,11 +31,12 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(scanned items, clean texts) of pdf_text and document."""
     pdf = table(spark, sf_dir, "pdf_text").select("attachment_id", "document_id", F.coalesce("ocr_used", F.lit(False)).alias("ocr"), "text")
-    document = table(spark, sf_dir, "document").select("id", "title", F.col("extracted_text").alias("text")).where("text IS NOT NULL")
+    document = table(spark, sf_dir, "document").select("id", "title", F.col("extracted_text").alias("text"))
     moved = pdf.where("ocr AND text IS NULL").select(F.col("document_id").alias("id")).distinct()
-    of_pdf = pdf.where("ocr AND text IS NOT NULL").select(F.lit("pdf_text").alias("item_table"), F.col("attachment_id").alias("item_id"), F.lit(None).cast("string").alias("title"), "text")
-    of_document = document.join(moved, "id", "left_semi").select(F.lit("document").alias("item_table"), F.col("id").alias("item_id"), "title", "text")
-    clean = document.join(moved, "id", "left_anti").select("text").unionByName(pdf.where("NOT ocr AND text IS NOT NULL").select("text"))
+    titles = document.select(F.col("id").alias("document_id"), "title")
+    of_pdf = pdf.where("ocr AND text IS NOT NULL").join(titles, "document_id", "left").select(F.lit("pdf_text").alias("item_table"), F.col("attachment_id").alias("item_id"), "title", "text")
+    of_document = document.where("text IS NOT NULL").join(moved, "id", "left_semi").select(F.lit("document").alias("item_table"), F.col("id").alias("item_id"), "title", "text")
+    clean = document.where("text IS NOT NULL").join(moved, "id", "left_anti").select("text").unionByName(pdf.where("NOT ocr AND text IS NOT NULL").select("text"))
     return of_pdf.unionByName(of_document), clean
 
 

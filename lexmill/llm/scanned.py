@@ -38,7 +38,8 @@ CONFUSED = (
 )
 _FOLD = str.maketrans({"0": "o", "5": "s", "$": "s", "@": "a", "1": "i", "!": "i", "|": "i", "l": "i", "9": "g", "q": "g", "c": "e", "f": "t", "b": "h", "8": "h", "6": "h", "z": "2"})
 _PUNCT = ".,;:()[]{}“”\"‘’'?…–—₹/ "
-_DIGITS = re.compile(r"\d+").sub
+#: Digits that stand apart or together; a single one next to a letter may be a misread letter.
+_DIGITS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])|\d{2,}").sub
 _N = r"(?:\d{1,4}|[0-9oOlIzZ]{1,4}|[ivxlcdm]{1,7})"
 _PAGE = re.compile(
     rf"^(?:[-–—*~\[(<|. ]*{_N}[-–—*~\])>|  ]*|[-–—\[( ]*(?:p[a@][g9][ec]|pg|p)\.?\s*(?:no\.?)?\s*{_N}(?:\s*(?:of|0f|/)\s*{_N})?[-–—\]) ]*|{_N}\s*\|?\s*p\s*[a@]\s*[g9]\s*[ec]|{_N}\s*(?:of|/)\s*{_N}|\S.{{0,90}}\S[ \t]{{2,}}{_N}|{_N}[ \t]{{2,}}\S.{{0,90}})$",
@@ -48,7 +49,7 @@ _MIXED = re.compile(r"^(?=.*\d)(?=.*(?:[oz]|l\d))[\doOzZl]{2,}$", re.I)
 
 
 def word(raw: str) -> str:
-    """A word as the lexicon has it: lower case, without punctuation around it and possessive ending, digit runs as one 0."""
+    """A word as the lexicon has it: lower case, without punctuation around it and possessive ending, digit runs as one 0 (single digits in words stay)."""
     w = raw.lower().strip(_PUNCT)
     if w.endswith("/-"):
         w = w[:-2]
@@ -79,49 +80,69 @@ def _key(line: str) -> str:
     return "".join(c for c in line.lower().translate(_FOLD) if c.isalpha())
 
 
+def _titled(line: str) -> bool:
+    words = [w for w in re.split(r"\W+", line) if w[:1].isalpha()]
+    return sum(w[0].isupper() for w in words) >= 0.45 * len(words) > 0
+
+
 def furniture(lines: list[str], title: str | None = None) -> set[int]:
-    """Positions of running headers, running footers and page numbers among the lines of an item."""
+    """Positions of running headers, running footers and page numbers among the stripped lines of an item.
+
+    Running text is filled: a line ends a sentence or leaves no room for the next word. A header does neither, stands at the
+    edge of a page, between blank lines or inside a sentence, and comes again, whole or cut short.
+    """
     full = [i for i, s in enumerate(lines) if s]
-    if not full:
-        return set()
     pages = {i for i in full if _PAGE.match(lines[i])}
     text = [i for i in full if i not in pages]
     if not text:
         return pages
     lengths = sorted(len(lines[i]) for i in text)
-    width = lengths[min(len(lengths) - 1, int(len(lengths) * 0.9))]
+    width = lengths[int((len(lengths) - 1) * 0.93)]
     keys = {i: _key(lines[i]) for i in text}
-    heads = Counter(k[:18] for k in keys.values() if len(k) >= 10)
-    place = {i: p for p, i in enumerate(full)}
-    named = _key(title or "")[:18]
-    found = set(pages)
+    same: dict[str, list[int]] = {}
+    for i in text:
+        if len(keys[i]) >= 10:
+            same.setdefault(keys[i][:18], []).append(i)
+    named = _key(title or "")
+    facts = {}
     for p, i in enumerate(full):
-        if i in pages or len(keys[i]) < 6:
+        if i in pages:
             continue
-        line, head = lines[i], keys[i][:18]
-        after = lines[full[p + 1]].split()[0] if p + 1 < len(full) and full[p + 1] not in pages else ""
-        ends = line[-1] in ".;:" or not after
-        cut = not ends and len(line) + 1 + len(after) <= width or len(line) > width + 4
-        edge = p in (0, len(full) - 1) or full[p - 1] in pages or p + 1 < len(full) and full[p + 1] in pages
-        again = heads[head] >= 2 if len(head) >= 10 else False
-        upper = line.upper() == line
-        if named and len(head) >= 10 and named.startswith(head[: len(named)]) and (edge or cut or again):
+        line = lines[i]
+        before = full[p - 1] if p else None
+        after = full[p + 1] if p + 1 < len(full) else None
+        edge = before is None or after is None or before in pages or after in pages
+        said = next((lines[k] for k in reversed(full[:p]) if k not in pages), "")
+        follows = next((lines[k] for k in full[p + 1 :] if k not in pages), "")
+        open_ = bool(said) and said[-1] not in ".;:"
+        fits = bool(follows) and after not in pages and len(line) + 1 + len(follows.split()[0]) <= width
+        cut = line[-1] not in ".;:" and (fits or len(line) > width + 2)
+        gap_before, gap_after = before is not None and before < i - 1, after is not None and after > i + 1 and after not in pages
+        inside = open_ and follows[:1].islower()
+        facts[i] = edge, cut, gap_before, gap_after, open_, inside, before in pages
+    found = set(pages)
+    for i in text:
+        line, key = lines[i], keys[i]
+        edge, cut, gap_before, gap_after, open_, inside, heads = facts[i]
+        if line.endswith("…"):
             found.add(i)
-        elif again and (cut or upper or line.endswith("…")):
+            continue
+        if len(key) < 8 or line[0].islower() or line[-1] in ";:-­¬‐" or "|" in line or line[-1] == "," and not _titled(line):
+            continue
+        alike = [j for j in same.get(key[:18], ()) if keys[j].startswith(key) or key.startswith(keys[j])]
+        upper = line.upper() == line
+        apart = edge or gap_before or gap_after or open_
+        if len(key) >= 10 and named and (named.startswith(key[:40]) or key.startswith(named[:40])) and (apart or cut or len(alike) > 1):
             found.add(i)
-        elif again and edge and sum(1 for j in text if keys[j][:18] == head and _edge(place[j], full, pages)) >= 2:
+        elif len(alike) > 1 and (upper or line[-1] != "." and any(facts[j][1] or facts[j][5] or facts[j][2] and facts[j][3] and _titled(line) for j in alike)):
             found.add(i)
-        elif line.endswith("…"):
+        elif line[-1] == "." and not upper:
+            continue
+        elif len(line) >= 15 and (cut or upper) and apart:
             found.add(i)
-        elif edge and (cut or upper) and line[-1] not in ".;:,-" and not line[0].islower() and len(text) > 2:
+        elif heads and gap_after or _titled(line) and ((edge or gap_before) and inside or (gap_before or edge or open_) and gap_after):
             found.add(i)
-    # A head that is furniture once is furniture wherever it stands at an edge or is cut off.
-    known = {keys[i][:18] for i in found if i not in pages and len(keys[i]) >= 10}
-    return found | {i for i in text if keys[i][:18] in known and heads[keys[i][:18]] >= 2}
-
-
-def _edge(p: int, full: list[int], pages: set[int]) -> bool:
-    return p in (0, len(full) - 1) or full[p - 1] in pages or full[p + 1] in pages
+    return found
 
 
 _ROWS = pa.schema([("item_table", pa.string()), ("item_id", pa.int64()), ("line_no", pa.int64()), ("next_no", pa.int64()), ("role", pa.string()), ("word", pa.string()), ("alt", pa.string()), ("cut", pa.int32())])
@@ -174,7 +195,7 @@ def _deletes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(f) > 2:
                 once = {f[:i] + f[i + 1 :] for i in range(len(f))}
                 forms |= once
-                if len(f) > 4:
+                if len(f) > 3:
                     forms |= {x[:i] + x[i + 1 :] for x in once for i in range(len(x))}
             words += [w] * len(forms)
             gone += forms
