@@ -45,7 +45,7 @@ _PAGE = re.compile(
     rf"^(?:[-–—*~\[(<|. ]*{_N}[-–—*~\])>|  ]*|[-–—\[( ]*(?:p[a@][g9][ec]|pg|p)\.?\s*(?:no\.?)?\s*{_N}(?:\s*(?:of|0f|/)\s*{_N})?[-–—\]) ]*|{_N}\s*\|?\s*p\s*[a@]\s*[g9]\s*[ec]|{_N}\s*(?:of|/)\s*{_N}|\S.{{0,90}}\S[ \t]{{2,}}{_N}|{_N}[ \t]{{2,}}\S.{{0,90}})$",
     re.I,
 )
-_MIXED = re.compile(r"^(?=.*\d)(?=.*(?:[oz]|l\d))[\doOzZl]{2,}$", re.I)
+_MIXED = re.compile(r"^(?=.*\d)(?=.*(?:[oz]|[li]\d))[\dozli]{2,}$", re.I)
 
 
 def word(raw: str) -> str:
@@ -134,7 +134,7 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
         apart = edge or gap_before or gap_after or open_
         if len(key) >= 10 and named and (named.startswith(key[:40]) or key.startswith(named[:40])) and (apart or cut or len(alike) > 1):
             found.add(i)
-        elif len(alike) > 1 and (upper or line[-1] != "." and any(facts[j][1] or facts[j][5] or facts[j][2] and facts[j][3] and _titled(line) for j in alike)):
+        elif len(alike) > 1 and (upper or line[-1] != "." and any(facts[j][1] or facts[j][5] or facts[j][2] and facts[j][3] and _titled(line) for j in alike) or all(facts[j][0] for j in alike) and line[-1] != "."):
             found.add(i)
         elif line[-1] == "." and not upper:
             continue
