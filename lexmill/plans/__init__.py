@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import dealt
+from lexmill.plans import catalogue, dealt
 
-_MODULES = (dealt,)
+_MODULES = (catalogue, dealt)
 
 
 def queries() -> dict:
