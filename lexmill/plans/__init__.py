@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import catalogue, dealt
+from lexmill.plans import catalogue, dealt, incremental
 
-_MODULES = (catalogue, dealt)
+_MODULES = (catalogue, dealt, incremental)
 
 
 def queries() -> dict:
