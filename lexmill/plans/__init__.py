@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import catalogue, dealt, incremental
+from lexmill.plans import catalogue, dealt, documents, incremental
 
-_MODULES = (catalogue, dealt, incremental)
+_MODULES = (catalogue, dealt, documents, incremental)
 
 
 def queries() -> dict:
