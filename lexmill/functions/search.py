@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.stemming import stem
+from lexmill.session import spread
 
 #: Words that are not indexed.
 STOP = frozenset(
@@ -36,6 +37,26 @@ def lexemes(text: str) -> list[tuple[str, int]]:
     return out
 
 
+class _Analyser:
+    """Lexemes with the parts of each token looked up once."""
+
+    def __init__(self):
+        self.parts: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, text: str) -> dict[str, list[int]]:
+        found: dict[str, list[int]] = {}
+        parts = self.parts
+        for at, token in enumerate(_TOKEN.findall(text.lower()), 1):
+            known = parts.get(token)
+            if known is None:
+                if len(parts) > 500_000:
+                    parts.clear()
+                known = parts[token] = tuple(x for x, _ in lexemes(token))
+            for x in known:
+                found.setdefault(x, []).append(at)
+        return found
+
+
 def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
     """Alternatives of conjunctions of (wanted, phrase); words are conjoined, `or` divides, quotes make phrases, a dash negates."""
     alternatives: list[list[tuple[bool, list[str]]]] = [[]]
@@ -50,12 +71,11 @@ def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
 
 
 def _analyse(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+    analyse = _Analyser()
     for batch in batches:
         ids, words, places = [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found: dict[str, list[int]] = {}
-            for x, at in lexemes((text or "")[:bound]):
-                found.setdefault(x, []).append(at)
+            found = analyse((text or "")[:bound])
             ids += [doc] * len(found)
             words += found
             places += found.values()
@@ -64,7 +84,7 @@ def _analyse(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.Recor
 
 def postings(texts: DataFrame, bound: int = MATCHED) -> DataFrame:
     """(doc, lexeme, positions) of rows (doc, text)."""
-    return texts.select(F.col("doc").cast("long"), "text").mapInArrow(partial(_analyse, bound=bound), "doc bigint, lexeme string, positions array<int>")
+    return spread(texts.select(F.col("doc").cast("long"), "text")).mapInArrow(partial(_analyse, bound=bound), "doc bigint, lexeme string, positions array<int>")
 
 
 def _followed(positions: Column, by: int):

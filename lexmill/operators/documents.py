@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import texts as T
+from lexmill.session import spread
 
 
 def _apply(batches: Iterator[pa.RecordBatch], f: Callable, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -20,7 +21,7 @@ def _apply(batches: Iterator[pa.RecordBatch], f: Callable, kind: pa.DataType) ->
 
 def _each(rows: DataFrame, f: Callable, kind: pa.DataType, ddl: str) -> DataFrame:
     """(id, x) of rows (id, *arguments of f)."""
-    return rows.mapInArrow(partial(_apply, f=f, kind=kind), f"id bigint, x {ddl}")
+    return spread(rows).mapInArrow(partial(_apply, f=f, kind=kind), f"id bigint, x {ddl}")
 
 
 def _split(text: str | None) -> list[dict]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise
+from lexmill.session import materialise, materialise_counted
 
 ABSENT = -1
 
@@ -59,18 +59,17 @@ def hierarchy(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         for part in reached[1:]:
             known = known.unionByName(part)
         step = open_.join(known.select(F.col("node").alias("up"), F.col("path").alias("above")), "up", "left")
-        step = materialise(step)
+        step, n = materialise_counted(step, reached=F.count("above"), all=F.count(F.lit(1)))
         band = step.where("above IS NOT NULL").select("node", F.concat("above", "stretch").alias("path"))
         left = step.where("above IS NULL").select("node", "up", "stretch")
-        if not band.limit(1).count():
+        if not n["reached"] or n["reached"] == n["all"]:
+            reached.append(band)
             open_ = left
             break
         reached.append(band)
         # The ancestor of a node left over is no root, so it has a pointer of its own in this step.
         further = step.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("stretch").alias("before"))
         open_ = materialise(left.join(further, "up").select("node", F.col("next").alias("up"), F.concat("before", "stretch").alias("stretch")))
-        if not open_.limit(1).count():
-            break
     trees = reached[0]
     for part in reached[1:]:
         trees = trees.unionByName(part)
@@ -90,9 +89,9 @@ def hierarchy(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def _loops(unreached: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     """(node, state) of nodes that no root reaches: cycle if the node is in every image of the parent map, else below_cycle."""
-    jump = materialise(edges.join(unreached, "node", "left_semi").select("node", F.col("parent").alias("up")))
+    jump, n = materialise_counted(edges.join(unreached, "node", "left_semi").select("node", F.col("parent").alias("up")), all=F.count(F.lit(1)))
     image = jump.select(F.col("up").alias("node")).distinct()
-    size = image.count()
+    size = image.count() if n["all"] else 0
     for _ in range(max_rounds if size else 0):
         jump = materialise(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
         image = jump.select(F.col("up").alias("node")).distinct()

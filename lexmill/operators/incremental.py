@@ -106,12 +106,21 @@ def job_states(events: DataFrame, most: int = 3, stale_minutes: int = 30) -> Dat
     return rows.select("job_id", state.alias("state"), "attempts", "failures")
 
 
+_CITING = r"(^|[^0-9a-z])(?:section|sections|sec|rule|rules|regulation|regulations)\s*\.?\s*"
+
+
 def followed(documents: DataFrame, follows: DataFrame, links: DataFrame) -> DataFrame:
     """(follower, document_id) of documents in the union of: a link to the followed provision, and a title that names the followed number.
 
-    The pattern is made from a column, its metacharacters escaped; the join is an equi join on the scope with the match as residual.
+    A title names a number if it stands after a word of citation and no letter or digit follows. The number's first run of letters and digits
+    must then be the run after that word, so these runs, taken out of titles once, are the key of an equi join with the scope; the
+    whole pattern, made from a column with its metacharacters escaped, is the residual. Numbers that start otherwise join on the scope.
     """
     by_link = links.join(follows, "provision_id").select("follower", "document_id")
-    pattern = F.concat(F.lit(r"(?i)(^|[^0-9a-z])(section|sections|sec|rule|rules|regulation|regulations)\s*\.?\s*"), F.regexp_replace("number", r"([\\.^$|?*+()\[\]{}])", r"\\$1"), F.lit("([^0-9a-z]|$)"))
-    named = documents.join(follows.withColumn("_p", pattern), "scope").where(F.rlike("title", F.col("_p"))).select("follower", "document_id")
-    return by_link.union(named).distinct()
+    number = F.regexp_replace(F.lower("number"), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    wanted = follows.select("follower", "scope", F.regexp_extract(F.lower("number"), "^[0-9a-z]*", 0).alias("run"), F.concat(F.lit(_CITING), number, F.lit("([^0-9a-z]|$)")).alias("_p")).distinct()
+    titles = documents.select("document_id", "scope", F.lower("title").alias("title"))
+    runs = titles.withColumn("run", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(_CITING + "([0-9a-z]+)"), 2))))
+    named = runs.join(wanted.where("run <> ''"), ["scope", "run"]).where(F.rlike("title", F.col("_p")))
+    other = titles.join(wanted.where("run = ''").drop("run"), "scope").where(F.rlike("title", F.col("_p")))
+    return by_link.union(named.select("follower", "document_id")).union(other.select("follower", "document_id")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -37,3 +37,18 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/lexmill/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialise`` with aggregates of the rows observed as they are written, at no further job."""
+    seen = Observation()
+    return materialise(df.observe(seen, *(c.alias(k) for k, c in counts.items()))), seen.get
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the session has cores, for work that is heavy a row.
+
+    Large tables have more partitions already and pass unchanged; only tables of a few files are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
