@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 KINDS = ("prose", "list", "table", "junk")
 _STATS = (
     ("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_share", pa.float64()), ("punctuated_lines", pa.float64()), ("common_share", pa.float64()),
@@ -124,7 +126,7 @@ def _read(batches: Iterator[pa.RecordBatch], common: frozenset[str]) -> Iterator
 def statistics(texts: DataFrame, id_col: str, text_col: str, common: frozenset[str]) -> DataFrame:
     """(id, *statistics) of every row."""
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_read, common=common), _SCHEMA)
+    return spread(rows).mapInArrow(partial(_read, common=common), _SCHEMA)
 
 
 #: Labelling functions: the kind voted for, and when.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise
+from lexmill.session import materialise, spread
 
 COMMON = 50_000
 #: Words seen less often in clean texts are looked up in the index; a repair must be this frequent, and so many times more frequent than the word.
@@ -72,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(clean: DataFrame) -> DataFrame:
     """(word, n) of clean rows (text): words seen at least RARE times."""
-    counts = clean.where("text IS NOT NULL").select("text").mapInArrow(_count, "word string, n bigint")
+    counts = spread(clean.where("text IS NOT NULL").select("text")).mapInArrow(_count, "word string, n bigint")
     return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= RARE)
 
 
@@ -259,7 +259,7 @@ def noise(items: DataFrame, clean: DataFrame) -> DataFrame:
     # At most COMMON words.
     common = {r["word"]: r["n"] for r in lex.orderBy(F.col("n").desc(), "word").limit(COMMON).collect()}
     rows = items.where("text IS NOT NULL").select("item_table", F.col("item_id").cast("long").alias("item_id"), "title", "text")
-    rows = materialise(rows.mapInArrow(partial(_read, common=common), _ROLES))
+    rows = materialise(spread(rows).mapInArrow(partial(_read, common=common), _ROLES))
     asked = rows.where("word IS NOT NULL").select("word").union(rows.where("alt IS NOT NULL").select("alt")).distinct()
     asked = asked.join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     asked = materialise(asked)

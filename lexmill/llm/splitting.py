@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 _W = r"[ \t\r\n]"
 _PARAGRAPH = rf"\n{_W}*\n"
 #: Of each kind: the pattern of all its boundaries and of those before it.
@@ -115,7 +117,7 @@ def split_oversized(items: DataFrame, limit: int = 2000, overlap: int = 200) ->
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than the limit")
     long = items.where(F.length("text") > limit).select("item_table", F.col("item_id").cast("long").alias("item_id"), "text")
-    return long.mapInArrow(partial(_batches, limit=limit, overlap=overlap), "item_table string, item_id bigint, boundary string, pieces array<struct<start:bigint,end:bigint>>")
+    return spread(long).mapInArrow(partial(_batches, limit=limit, overlap=overlap), "item_table string, item_id bigint, boundary string, pieces array<struct<start:bigint,end:bigint>>")
 
 
 def piece_rows(split_items: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 CACHE, LONGEST = 200_000, 64
 #: Before a space that something other than Unicode white space follows.
@@ -121,10 +123,10 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, what: str) -> Iterator
 def encode(texts: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, ids array<int>) of every row."""
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_encode, path=tokenizer, what="ids"), "id bigint, ids array<int>")
+    return spread(rows).mapInArrow(partial(_encode, path=tokenizer, what="ids"), "id bigint, ids array<int>")
 
 
 def count_tokens(texts: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """(id, n bigint) of every row, without building the lists in the result."""
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_encode, path=tokenizer, what="n"), "id bigint, n bigint")
+    return spread(rows).mapInArrow(partial(_encode, path=tokenizer, what="n"), "id bigint, n bigint")
