@@ -44,6 +44,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.noise(*_scans(spark, sf_dir))
 
 
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.repaired(*_scans(spark, sf_dir)).select("item_table", "item_id", F.posexplode("paragraphs").alias("n", "text")).select("item_table", "item_id", (F.col("n") + 1).cast("long").alias("paragraph_no"), "text")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "document").select("id", "title", F.col("extracted_text").alias("text"))
 
@@ -126,7 +130,7 @@ FROM most
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,8 @@ A lexicon of the clean texts' words with their frequencies is the measure of wha
 are told by their form, by repetition and by lines that break off where the next word would have fitted. A line that ends in a mark
 is a break if the word without the mark is more frequent than the word with it. A word of a scan that the lexicon lacks is looked up in a
 symmetric-delete index: it and the lexicon's words are folded over single confusable characters and lose up to two characters; words that meet
-are compared by an edit distance in which the confusion pairs of recognition are cheap, and the nearest, then most frequent one is the repair.
+are compared by an edit distance in which the confusion pairs of recognition are cheap. The nearest is the repair; of several the one that clean texts
+have most often beside the same neighbours, then the most frequent. ``noise`` tells what is wrong where, ``repaired`` gives continuous paragraphs.
 
 The lexicon is a distributed table. Only its ``COMMON`` most frequent words are sent to the workers, as a filter that spares lookups; all
 other words are looked up by joins on distinct words, so no result depends on the size of that filter.
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,43 +147,53 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
     return found
 
 
-_ROWS = pa.schema([("item_table", pa.string()), ("item_id", pa.int64()), ("line_no", pa.int64()), ("next_no", pa.int64()), ("role", pa.string()), ("word", pa.string()), ("alt", pa.string()), ("cut", pa.int32())])
-_ROLES = "item_table string, item_id bigint, line_no bigint, next_no bigint, role string, word string, alt string, cut int"
+_ROWS = pa.schema(
+    [("item_table", pa.string()), ("item_id", pa.int64()), ("line_no", pa.int64()), ("next_no", pa.int64()), ("place", pa.int32()), ("role", pa.string()), ("word", pa.string()), ("alt", pa.string()), ("cut", pa.int32()), ("before", pa.string()), ("after", pa.string())]
+)
+_ROLES = "item_table string, item_id bigint, line_no bigint, next_no bigint, place int, role string, word string, alt string, cut int, before string, after string"
+
+
+def split_word(line: str, follows: str) -> tuple[str, str] | None:
+    """The two parts of a word that a mark at the line's end divides, or None."""
+    words = line.split()
+    last = words[-1].rstrip(".") if words else ""
+    if len(last) < 2 or last[-1] not in MARKS or not last[-2].isalpha() or not follows:
+        return None
+    after = follows.split()[0]
+    return (last[:-1].lstrip(_PUNCT), after.rstrip(_PUNCT)) if after[0].isalnum() or after[0] in "@!$" else None
 
 
 def _read(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Rows of role furniture, word (not common), misread (certain) and end (a line end with a mark whose word is split)."""
+    """Rows of role furniture, word (not common), misread (certain), break and kept (certain), and end (a line end with a mark to decide).
+
+    place counts the words of a line from 0; before and after are the words next to a word.
+    """
     for batch in batches:
         rows = []
         for table, item, title, text in zip(*(c.to_pylist() for c in batch.columns)):
             lines = [s.strip() for s in text.split("\n")]
             out = furniture(lines, title)
-            rows += [(table, item, i + 1, None, "furniture", None, None, None) for i in sorted(out)]
+            rows += [(table, item, i + 1, None, None, "furniture", None, None, None, None, None) for i in sorted(out)]
             run = [i for i, s in enumerate(lines) if s and i not in out]
-            skip: dict[int, int] = {}
+            skip: set[int] = set()
             for p, i in enumerate(run):
                 words = lines[i].split()
-                last = words[-1].rstrip(".") if words else ""
                 stop = len(words)
-                if len(last) > 1 and last[-1] in MARKS and last[-2].isalpha() and p + 1 < len(run):
-                    after = lines[run[p + 1]].split()[0]
-                    if after[0].isalnum() or after[0] in "@!$":
-                        one, two = last[:-1].lstrip(_PUNCT), after.rstrip(_PUNCT)
-                        joined, kept = word(one + two), word(one + "-" + two)
-                        stop -= 1
-                        skip[run[p + 1]] = 1
-                        a, b = common.get(joined, 0), common.get(kept, 0)
-                        if a > b:
-                            rows.append((table, item, i + 1, None, "break", None, None, None))
-                        elif not b:
-                            rows.append((table, item, i + 1, run[p + 1] + 1, "end", joined, kept, len(one)))
-                for raw in words[skip.get(i, 0) : stop]:
-                    w = word(raw)
+                parts = split_word(lines[i], lines[run[p + 1]]) if p + 1 < len(run) else None
+                if parts:
+                    joined, kept = word("".join(parts)), word("-".join(parts))
+                    stop -= 1
+                    skip.add(run[p + 1])
+                    a, b = common.get(joined, 0), common.get(kept, 0)
+                    role = "break" if a > b else "end" if not b else "kept"
+                    rows.append((table, item, i + 1, run[p + 1] + 1, stop, role, *((joined, kept, len(parts[0])) if role == "end" else (None, None, None)), None, None))
+                for k in range(int(i in skip), stop):
+                    w = word(words[k])
                     if w and w not in common:
-                        if _MIXED.match(raw.strip(_PUNCT)):
-                            rows.append((table, item, i + 1, None, "misread", None, None, None))
+                        if _MIXED.match(words[k].strip(_PUNCT)):
+                            rows.append((table, item, i + 1, None, k, "misread", None, None, None, None, None))
                         elif len(w) <= 60:
-                            rows.append((table, item, i + 1, None, "word", w, None, None))
+                            rows.append((table, item, i + 1, None, k, "word", w, None, None, word(words[k - 1]) if k else "", word(words[k + 1]) if k + 1 < len(words) else ""))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)] if rows else [pa.array([], f.type) for f in _ROWS], schema=_ROWS)
 
 
@@ -241,40 +253,223 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
 
-def repairs(words: DataFrame, lex: DataFrame) -> DataFrame:
-    """(word, repair, first, end) of distinct rows (word, n), n their own frequency or 0: the nearest, then most frequent, then first repair."""
+def candidates(words: DataFrame, lex: DataFrame) -> DataFrame:
+    """(word, repair, n, first, end) of distinct rows (word, n), n their own frequency or 0: all repairs at the least distance."""
     known = lex.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"\p{L}") & (F.length("word") <= 40))
     left = words.where(F.length("word").between(2, 40)).select("word").mapInArrow(_deletes, "word string, gone string")
     right = known.select("word").mapInArrow(_deletes, "word string, gone string").withColumnRenamed("word", "repair")
     pairs = left.join(right, "gone").where("word <> repair").select("word", "repair").distinct()
     scored = pairs.join(known.withColumnRenamed("word", "repair"), "repair").select("word", "repair", "n").mapInArrow(_score, "word string, repair string, n bigint, cost double, first int, end int")
     scored = scored.join(words.withColumnRenamed("n", "own"), "word").where(F.col("n") >= F.col("own") * DOMINANT)
-    best = scored.groupBy("word").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
+    least = scored.groupBy("word").agg(F.min("cost").alias("least"))
+    return scored.join(least, "word").where("cost = least").select("word", "repair", "n", "first", "end")
+
+
+def most_frequent(found: DataFrame) -> DataFrame:
+    """Of each word the most frequent candidate, then the first."""
+    best = found.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
     return best.select("word", "b.repair", "b.first", "b.end")
 
 
-def noise(items: DataFrame, clean: DataFrame) -> DataFrame:
-    """(item_table, item_id, line_no, kind) of scanned rows (item_table, item_id, title, text), measured by clean rows (text)."""
+#: Bits of the filter over asked pairs of words, 1 MB whatever the data.
+_BITS = 1 << 23
+_PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+
+class _Ids:
+    """64-bit hashes of words, looked up once a worker."""
+
+    def __init__(self):
+        import xxhash
+
+        self.hash, self.known = xxhash.xxh64_intdigest, {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > 1_000_000:
+            known.clear()
+        return np.array([known[w] if w in known else known.setdefault(w, self.hash(w)) for w in words], dtype=np.uint64)
+
+
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = left * _PAIR[0] + right * _PAIR[1]
+    return ((h ^ (h >> np.uint64(31))) % np.uint64(_BITS)).astype(np.int64)
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = _Ids()
+    for batch in batches:
+        left, right = (ids(c.to_pylist()) for c in batch.columns)
+        yield pa.record_batch([pa.array(np.unique(_slots(left, right)) if len(left) else [], pa.int64())], ["slot"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+    ids, field, words = _Ids(), np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"), {}
+    for batch in batches:
+        found: Counter[tuple[str, str]] = Counter()
+        for text in batch.column(0).to_pylist():
+            raw = text.split()
+            if len(words) > 1_000_000:
+                words.clear()
+            row = [words[r] if r in words else words.setdefault(r, word(r)) for r in raw]
+            if len(row) > 1:
+                h = ids(row)
+                for k in np.flatnonzero(field[_slots(h[:-1], h[1:])]):
+                    found[row[k], row[k + 1]] += 1
+        yield pa.record_batch([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string()), pa.array(found.values(), pa.int64())], ["left", "right", "n"])
+
+
+def pair_counts(asked: DataFrame, clean: DataFrame) -> DataFrame:
+    """(left, right, n): how often the asked pairs (left, right) of neighbouring words stand in clean rows (text).
+
+    A bit field of fixed size lets the workers pass over pairs nobody asks for; the join decides.
+    """
+    slots = asked.select("left", "right").mapInArrow(_slot_rows, "slot bigint")
+    maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
+    field = bytearray(_BITS // 8 + 8192)
+    for r in maps.collect():  # at most 2 ** 23 bits
+        # Buckets are counted from 1; bucket b holds the numbers from (b - 1) * 32768 + 1 on, and 0 stands in bucket 0.
+        start = (r["b"] - 1) * 4096
+        if r["b"] >= 1:
+            field[start : start + 4096] = r["m"]
+    # Bit k of the field stands for slot k + 1; slot 0 shares the bit of slot 1's place below.
+    shifted = np.concatenate([[1], np.unpackbits(np.frombuffer(bytes(field), dtype=np.uint8), bitorder="little")])[: _BITS + 8]
+    bits = np.packbits(shifted, bitorder="little").tobytes()
+    counted = spread(clean.where("text IS NOT NULL").select("text")).mapInArrow(partial(_count_pairs, bits=bits), "left string, right string, n bigint")
+    return counted.join(asked.select("left", "right").distinct(), ["left", "right"], "left_semi").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def in_context(occurrences: DataFrame, found: DataFrame, clean: DataFrame) -> DataFrame:
+    """(*occurrence, repair, first, end): of rows (.., word, before, after) the repair that fits its neighbours best.
+
+    Words with one candidate keep it. Of several at the same distance the one wins that clean texts have more often beside the same
+    neighbours, then the more frequent, then the first.
+    """
+    tied = materialise(found.join(found.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word"), "word", "left_semi"))
+    plain = occurrences.join(most_frequent(found), "word")
+    if not tied.limit(1).count():
+        return plain
+    keys = [c for c in occurrences.columns]
+    open_ = occurrences.join(tied, "word")
+    asked = open_.select(F.col("before").alias("left"), F.col("repair").alias("right")).union(open_.select("repair", "after")).where("left <> '' AND right <> ''").distinct()
+    pairs = materialise(pair_counts(asked, clean))
+    one = pairs.select(F.col("left").alias("before"), F.col("right").alias("repair"), F.col("n").alias("n1"))
+    two = pairs.select(F.col("left").alias("repair"), F.col("right").alias("after"), F.col("n").alias("n2"))
+    scored = open_.join(one, ["before", "repair"], "left").join(two, ["repair", "after"], "left")
+    fit = -(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)))
+    best = scored.groupBy(*keys).agg(F.min(F.struct(fit.alias("f"), (-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
+    rest = plain.join(tied.select("word").distinct(), "word", "left_anti")
+    return rest.select(*keys, "repair", "first", "end").unionByName(best.select(*keys, "b.repair", "b.first", "b.end"))
+
+
+def _study(items: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, words, ends): what the items' lines hold, repaired words, and decided line ends."""
     lex = materialise(lexicon(clean))
     # At most COMMON words.
     common = {r["word"]: r["n"] for r in lex.orderBy(F.col("n").desc(), "word").limit(COMMON).collect()}
     rows = items.where("text IS NOT NULL").select("item_table", F.col("item_id").cast("long").alias("item_id"), "title", "text")
     rows = materialise(spread(rows).mapInArrow(partial(_read, common=common), _ROLES))
     asked = rows.where("word IS NOT NULL").select("word").union(rows.where("alt IS NOT NULL").select("alt")).distinct()
-    asked = asked.join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
-    asked = materialise(asked)
-    fixed = materialise(repairs(asked, lex))
-    facts = materialise(asked.join(fixed, "word", "left"))
+    asked = materialise(asked.join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
+    found = materialise(candidates(asked, lex))
+    words = in_context(rows.where("role = 'word'").select("item_table", "item_id", "line_no", "place", "word", "before", "after"), found, clean)
+    facts = materialise(asked.join(most_frequent(found), "word", "left"))
     of = lambda c, p: facts.select(F.col("word").alias(c), *(F.col(x).alias(p + x) for x in ("n", "repair", "first", "end")))
-    keys = ["item_table", "item_id"]
-    words = rows.where("role = 'word'").join(of("word", "w_"), "word").where("w_repair IS NOT NULL").select(*keys, "line_no", F.lit("misread").alias("kind"))
     ends = rows.where("role = 'end'").join(of("word", "w_"), "word").join(of("alt", "a_"), "alt")
     # The word with the mark wins if it is known and the joined one is not, or if only it has a repair.
     kept = (F.col("a_n") > F.col("w_n")) | (F.col("w_n") == 0) & F.col("w_repair").isNull() & F.col("a_repair").isNotNull()
-    ends = ends.withColumn("kept", kept)
+    return rows, words, ends.withColumn("kept", kept)
+
+
+def noise(items: DataFrame, clean: DataFrame) -> DataFrame:
+    """(item_table, item_id, line_no, kind) of scanned rows (item_table, item_id, title, text), measured by clean rows (text)."""
+    rows, words, ends = _study(items, clean)
+    keys = ["item_table", "item_id"]
+    misread = words.select(*keys, "line_no", F.lit("misread").alias("kind"))
     breaks = ends.where("NOT kept").select(*keys, "line_no", F.lit("break").alias("kind"))
     # A misread of a split word belongs to the line, or lines, that hold its characters; the joined word has no mark, the other has one.
     bad = ends.select(*keys, "line_no", "next_no", F.when(F.col("kept"), F.col("a_first")).otherwise(F.col("w_first")).alias("first"), F.when(F.col("kept"), F.col("a_end") - 1).otherwise(F.col("w_end")).alias("end"), "cut").where("first IS NOT NULL")
     split = bad.where("first < cut").select(*keys, "line_no", F.lit("misread").alias("kind")).unionByName(bad.where("end > cut").select(*keys, F.col("next_no").alias("line_no"), F.lit("misread").alias("kind")))
     sure = rows.where("role IN ('furniture', 'break', 'misread')").select(*keys, "line_no", F.col("role").alias("kind"))
-    return sure.unionByName(words).unionByName(breaks).unionByName(split).distinct()
+    return sure.unionByName(misread).unionByName(breaks).unionByName(split).distinct()
+
+
+def restore(raw: str, repair: str) -> str:
+    """``repair`` in place of the word within ``raw``: its punctuation, case, ending and digits stay."""
+    core = raw.strip(_PUNCT)
+    if not core:
+        return raw
+    at = raw.index(core)
+    ending = core[-2:] if core.lower().endswith(("'s", "’s")) else ""
+    body = core[: len(core) - len(ending)]
+    runs = re.findall(r"\d{2,}|(?<![^\W\d_])\d+(?![^\W\d_])", body)
+    if repair.count("0") == len(runs):
+        parts = repair.split("0")
+        repair = "".join(x for pair in zip(parts, [*runs, ""]) for x in pair)
+    letters = [c for c in body if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        repair = repair.upper()
+    elif repair[:1].isalpha() and (body[:1].isupper() or not body[:1].isalpha() and raw is not core and not body[1:2].islower()):
+        repair = repair[:1].upper() + repair[1:]
+    elif any(c.isupper() for c in body[1:]) and "-" in body and repair.count("-") == body.count("-"):
+        repair = "-".join(r[:1].upper() + r[1:] if b[:1].isupper() else r for r, b in zip(repair.split("-"), body.split("-")))
+    return raw[:at] + repair + ending + raw[at + len(core) :]
+
+
+def rebuild(text: str, fixes: list[tuple]) -> list[str]:
+    """Continuous paragraphs of a text from its fixes (line_no, place, role, repair)."""
+    lines = [s.strip() for s in text.split("\n")]
+    drop, words, ends = set(), {}, {}
+    for line, place, role, repair in fixes:
+        if role == "furniture":
+            drop.add(line - 1)
+        elif role in ("break", "kept"):
+            ends[line - 1] = (role, repair)
+        else:
+            words[line - 1, place] = repair
+    paragraphs: list[list[str]] = [[]]
+    blank, glue = False, None
+    for i, line in enumerate(lines):
+        if i in drop:
+            continue
+        if not line:
+            blank = True
+            continue
+        tokens = [restore(w, words[i, k]) if words.get((i, k)) else w for k, w in enumerate(line.split())]
+        here = paragraphs[-1]
+        # A paragraph goes on over a gap, or a page, as long as its sentence is open.
+        if here and blank and glue is None and here[-1][-1:] in ".;:":
+            paragraphs.append(here := [])
+        blank = False
+        if glue is not None:
+            role, repair = glue
+            head = here.pop()
+            mark = head.rstrip(".")[:-1] if head.rstrip(".")[-1:] in MARKS else head
+            whole = mark + ("" if role == "break" else "-") + tokens[0]
+            here.append(restore(whole, repair) if repair else whole)
+            tokens = tokens[1:]
+        here += tokens
+        glue = ends.get(i)
+    return [" ".join(p) for p in paragraphs if p]
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fixes = [[(f["line_no"], f["place"], f["role"], f["repair"]) for f in x or ()] for x in batch.column(3).to_pylist()]
+        out = [rebuild(t, f) for t, f in zip(batch.column(2).to_pylist(), fixes)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["item_table", "item_id", "paragraphs"])
+
+
+def repaired(items: DataFrame, clean: DataFrame) -> DataFrame:
+    """(item_table, item_id, paragraphs) of scanned rows (item_table, item_id, title, text): their text as continuous paragraphs."""
+    rows, words, ends = _study(items, clean)
+    columns = ["item_table", "item_id", "line_no", "place", "role", "repair"]
+    none = F.lit(None).cast("string")
+    fixes = rows.where("role IN ('furniture', 'break', 'kept')").withColumn("repair", none).select(columns)
+    fixes = fixes.unionByName(words.withColumn("role", F.lit("word")).select(columns))
+    ends = ends.withColumn("role", F.when(F.col("kept"), "kept").otherwise("break")).withColumn("repair", F.when(F.col("kept"), F.col("a_repair")).otherwise(F.col("w_repair")))
+    fixes = fixes.unionByName(ends.select(columns))
+    # As many fixes as an item has lines and words: no more than its text.
+    by_item = fixes.groupBy("item_table", "item_id").agg(F.collect_list(F.struct("line_no", "place", "role", "repair")).alias("fixes"))
+    texts = items.where("text IS NOT NULL").select("item_table", F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_table", "item_id"])
+    return texts.join(by_item, ["item_table", "item_id"], "left").mapInArrow(_rebuild, "item_table string, item_id bigint, paragraphs array<string>")

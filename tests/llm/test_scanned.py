@@ -56,3 +56,26 @@ def test_running_header():
 def test_empty(spark):
     items = spark.createDataFrame([], "item_table string, item_id bigint, title string, text string")
     assert S.noise(items, spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_neighbours_pick_between_repairs(spark):
+    clean = spark.createDataFrame([("he was out on bail today and the ball game was long",)] * 9 + [("a ball a ball a ball",)] * 9, "text string")
+    items = spark.createDataFrame([("t", 1, None, "he was out on ba1l today.\nand the ba1l game was long")], "item_table string, item_id bigint, title string, text string")
+    out = {(r["line_no"], r["place"]): r["repair"] for r in S._study(items, clean)[1].collect()}
+    assert out == {(1, 4): "bail", (2, 2): "ball"}
+
+
+def test_restore_keeps_what_surrounds_the_word():
+    assert S.restore("“5hall”,", "shall") == "“shall”,"
+    assert S.restore("LIMITFD.", "limited") == "LIMITED."
+    assert S.restore("15-Jari-2018.", "0-jan-0") == "15-Jan-2018."
+    assert S.restore("Tbe", "the") == "The" and S.restore("commlttee's", "committee") == "committee's"
+    assert S.restore("...", "x") == "..."
+
+
+def test_paragraphs(spark):
+    text = "The autbority shall approve the arrange-\n\n- 1 -\n\nment and furnish the sub-\nstandard notice.\n\nThe department shall approve."
+    items = spark.createDataFrame([("pdf_text", 1, None, text), ("pdf_text", 2, None, None), ("pdf_text", 3, None, "")], "item_table string, item_id bigint, title string, text string")
+    clean = spark.createDataFrame([(t,) for t in CLEAN], "text string")
+    out = {r["item_id"]: r["paragraphs"] for r in S.repaired(items, clean).collect()}
+    assert out == {1: ["The authority shall approve the arrangement and furnish the sub-standard notice.", "The department shall approve."], 3: []}
