@@ -10,14 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def instant(day: str) -> Column:
+    """Midnight UTC of a day, whatever the session's zone."""
+    return F.lit(f"{day}T00:00:00Z").cast("timestamp")
+
+
 def window(rows: DataFrame, at: str, since: str, cutoff: str) -> DataFrame:
     """Rows of [since, cutoff)."""
-    return rows.where((F.col(at) >= F.lit(since).cast("timestamp")) & (F.col(at) < F.lit(cutoff).cast("timestamp")))
+    return rows.where((F.col(at) >= instant(since)) & (F.col(at) < instant(cutoff)))
 
 
 def arrivals(rows: DataFrame, key: str, at: str, since: str, cutoff: str) -> DataFrame:
     """Keys first seen in the window, with how often and when."""
-    before = rows.where(F.col(at) < F.lit(since).cast("timestamp")).select(key).distinct()
+    before = rows.where(F.col(at) < instant(since)).select(key).distinct()
     return window(rows, at, since, cutoff).join(before, key, "left_anti").where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 

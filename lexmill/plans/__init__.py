@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import catalogue, dealt, documents, incremental
+from lexmill.plans import catalogue, dealt, documents, incremental, reading
 
-_MODULES = (catalogue, dealt, documents, incremental)
+_MODULES = (catalogue, dealt, documents, incremental, reading)
 
 
 def queries() -> dict:

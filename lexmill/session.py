@@ -45,10 +45,16 @@ def materialise_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dic
     return materialise(df.observe(seen, *(c.alias(k) for k, c in counts.items()))), seen.get
 
 
+#: Bytes a core under which an input counts as small.
+SMALL_INPUT = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as the session has cores, for work that is heavy a row.
+    """``df`` in as many partitions as the session has cores, where it is small and comes from fewer files.
 
-    Large tables have more partitions already and pass unchanged; only tables of a few files are shuffled.
+    For work that is heavy a row. It is decided from the plan's statistics and files, nothing is run; large tables pass unchanged, so
+    the shuffle this costs is bounded.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_INPUT and len(df.inputFiles()) < cores else df
