@@ -38,10 +38,14 @@ def resolve_parents(rows: DataFrame) -> DataFrame:
     nodes = materialise(nodes)
     ids = nodes.select(F.col("id").alias("by_id"))
     numbers = nodes.where("number IS NOT NULL AND scope IS NOT NULL").groupBy("scope", F.col("number").alias("wanted")).agg(F.min("id").alias("by_number"))
-    found = nodes.join(ids, F.col("parent_id") == F.col("by_id"), "left")
-    direct = found.where("by_id IS NOT NULL").select(F.col("id").alias("node"), F.col("by_id").alias("parent"))
-    rest = found.where("by_id IS NULL").join(numbers, ["scope", "wanted"], "left").select(F.col("id").alias("node"), F.col("by_number").alias("parent"))
-    return direct.unionByName(rest)
+    # Rows without a key stay out of the joins: as nulls they would all meet in one task.
+    by_id = nodes.where("parent_id IS NOT NULL").join(ids, F.col("parent_id") == F.col("by_id"), "left")
+    direct = by_id.where("by_id IS NOT NULL").select(F.col("id").alias("node"), F.col("by_id").alias("parent"))
+    open_ = by_id.where("by_id IS NULL").drop("by_id").unionByName(nodes.where("parent_id IS NULL"))
+    keyed = F.col("scope").isNotNull() & F.col("wanted").isNotNull()
+    named = open_.where(keyed).join(numbers, ["scope", "wanted"], "left").select(F.col("id").alias("node"), F.col("by_number").alias("parent"))
+    roots = open_.where(~keyed).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"))
+    return direct.unionByName(named).unionByName(roots)
 
 
 def hierarchy(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
