@@ -125,8 +125,8 @@ def _ranked(rows: DataFrame, key: str, order: list[str], total: int) -> DataFram
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order)) - 1
-    # One row for each size and salt: sizes are bounded by the capacity.
-    return rows.join(F.broadcast(counts), [key, "_salt"]).withColumn("rank", (within + F.col("_before")).cast("long")).drop("_salt", "_before")
+    # Both sides are spread by size and salt, as the ranks need them anyway; the salts grow with the data, so nothing is broadcast.
+    return rows.withColumn("_within", within).join(counts, [key, "_salt"]).withColumn("rank", (F.col("_within") + F.col("_before")).cast("long")).drop("_salt", "_before", "_within")
 
 
 def _histogram(rows: DataFrame, key: str) -> dict[int, int]:
