@@ -60,10 +60,12 @@ def list_provisions(provision: DataFrame, chains: DataFrame, day: str | None, in
     return p.join(now, "provision_id", "left").join(counts, "provision_id", "left").fillna(0, ["n_versions", "n_machine"])
 
 
-def provision_at(provision: DataFrame, chains: DataFrame, number: str, day: str) -> DataFrame:
-    """In each instrument the provision of a number, as it stood on a day."""
-    p = unique_provisions(provision).where(number_key("number") == number_key(F.lit(number)))
-    w = Window.partitionBy("instrument_id").orderBy(F.col("version_id").desc_nulls_last(), F.col("id"))
+def provision_at(provision: DataFrame, chains: DataFrame, day: str, number: str | None = None) -> DataFrame:
+    """In each instrument the provision of a number, or of every number, as it stood on a day; of several the newest version's."""
+    p = unique_provisions(provision).withColumn("_key", number_key("number"))
+    if number is not None:
+        p = p.where(F.col("_key") == number_key(F.lit(number)))
+    w = Window.partitionBy("instrument_id", "_key").orderBy(F.col("version_id").desc_nulls_last(), F.col("id"))
     found = p.join(as_on(chains, day).select(F.col("provision_id").alias("id"), "version_id", "valid_from"), "id", "left")
     return found.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("instrument_id", "id", "number", "version_id", "valid_from")
 

@@ -59,7 +59,7 @@ def list_provision_index(spark, d):
 
 def get_provision(spark, d):
     p, pv = _t(spark, d, "provision", "provision_version")
-    return C.provision_at(p, C.versions(pv), "1.9", AS_ON).select("instrument_id", "id", "version_id", _day("valid_from").alias("valid_from"))
+    return C.provision_at(p, C.versions(pv), AS_ON).select("instrument_id", "id", "version_id", _day("valid_from").alias("valid_from"))
 
 
 def provision_version_dates(spark, d):
@@ -222,7 +222,7 @@ def same_document_key(spark, d):
     (doc,) = _t(spark, d, "document")
     key = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "")
     rows = doc.groupBy("regulator_code", "date_issued", F.coalesce("number", F.lit("")).alias("n"), key.alias("k")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    return rows.where("copies > 1").select("id", "copies", F.col("n").alias("number"))
+    return rows.select("id", "copies", F.col("n").alias("number"))
 
 
 def cutoff_filter(spark, d):
@@ -332,7 +332,7 @@ SQL = {
     "list_provision_index": f"""WITH {HISTORY}, c AS (SELECT provision_id, count(*) AS n FROM hist GROUP BY 1)
       SELECT p.id AS provision_id, instrument_id, number, heading, level, coalesce(n, 0) AS n_versions FROM p LEFT JOIN now ON now.provision_id = p.id LEFT JOIN c ON c.provision_id = p.id""",
     "get_provision": f"""WITH {HISTORY}, a AS (SELECT * FROM hist WHERE (valid_from IS NULL OR valid_from <= DATE '{AS_ON}') AND (valid_to IS NULL OR valid_to > DATE '{AS_ON}')),
-      r AS (SELECT p.*, version_id, valid_from, row_number() OVER (PARTITION BY instrument_id ORDER BY version_id DESC NULLS LAST, p.id) AS rn FROM p LEFT JOIN a ON a.provision_id = p.id WHERE {_KEY} = '1.9')
+      r AS (SELECT p.*, version_id, valid_from, row_number() OVER (PARTITION BY instrument_id, {_KEY} ORDER BY version_id DESC NULLS LAST, p.id) AS rn FROM p LEFT JOIN a ON a.provision_id = p.id)
       SELECT instrument_id, id, version_id, {_date('valid_from')} AS valid_from FROM r WHERE rn = 1""",
     "provision_version_dates": f"WITH {HISTORY} SELECT provision_id, count(*) AS n, string_agg({_date('valid_from')}, ',' ORDER BY {_date('valid_from')}) AS days FROM hist GROUP BY 1",
     "find_provisions_by_number": f"""SELECT p.id, slug, number, heading, code FROM (SELECT DISTINCT * FROM provision) p JOIN instrument i ON i.id = instrument_id JOIN regulator r ON r.id = regulator_id
@@ -387,7 +387,7 @@ SQL = {
       e AS (SELECT 4, (lower(number) = '1')::INT AS exact, 0, number, id FROM document WHERE contains(lower(number), '1') ORDER BY exact DESC, date_issued DESC NULLS LAST, id LIMIT 12)
       SELECT grp::INT AS grp, exact::INT AS exact, len::INT AS len, text, id::BIGINT AS id FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM e) ORDER BY grp, exact DESC, len, text, id LIMIT 12""",
     "map_counts": "SELECT instrument_id, CASE WHEN parent_number IS NULL THEN 'new' WHEN parent_id IS NULL THEN 'no counterpart' ELSE 'mapped' END AS status, count(*) AS n FROM (SELECT DISTINCT * FROM provision) GROUP BY 1, 2",
-    "same_document_key": "SELECT min(id) AS id, count(*) AS copies, coalesce(number, '') AS number FROM document GROUP BY regulator_code, date_issued, coalesce(number, ''), regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') HAVING count(*) > 1",
+    "same_document_key": "SELECT min(id) AS id, count(*) AS copies, coalesce(number, '') AS number FROM document GROUP BY regulator_code, date_issued, coalesce(number, ''), regexp_replace(lower(title), '[^a-z0-9]+', '', 'g')",
     "cutoff_filter": """SELECT doc_type, CASE WHEN coalesce(doc_type = 'master_direction' OR (regexp_matches(title, '(?i)regulations|rules') AND NOT regexp_matches(title, '(?i)amend')), false) THEN false WHEN date_issued IS NULL THEN false ELSE date_issued < DATE '2014-01-01' END AS before_cutoff, count(*) AS n FROM document GROUP BY 1, 2""",
     "null_logic": "SELECT doc_type, count(*) FILTER (WHERE is_amending IS TRUE) AS is_true, count(*) FILTER (WHERE is_amending IS NOT TRUE) AS is_not_true, count(*) FILTER (WHERE is_amending IS FALSE) AS is_false, count(*) FILTER (WHERE is_amending IS NULL) AS untagged FROM document GROUP BY 1",
     "definitions": _CURRENT + r""", t AS (SELECT provision_id, lower(unnest(regexp_extract_all(text, '[“"]([A-Za-z][A-Za-z -]{2,60})[”"] (?:means|includes)', 1))) AS term FROM cur) SELECT term, count(*) AS n, count(DISTINCT provision_id) AS provisions FROM t GROUP BY 1""",

@@ -22,7 +22,7 @@ def _links(spark, d):
 
 def provision_text(spark, d):
     (i,) = _t(spark, d, "instrument")
-    rows = _current_with_place(spark, d).where(C.number_key("number") == "1.9").join(i.select(F.col("id").alias("instrument_id"), "slug"), "instrument_id")
+    rows = _current_with_place(spark, d).join(i.select(F.col("id").alias("instrument_id"), "slug"), "instrument_id")
     return rows.select("slug", "provision_id", "version_id", F.md5("text").alias("text_md5"))
 
 
@@ -191,7 +191,7 @@ _PAGES = "pages AS (SELECT attachment_id, document_id, page_no, substring(text,
 _HAY = "lower(concat_ws(' ', slug, short_code, title))"
 _HEAD = r"'(?:^|[^0-9A-Za-z])2\.([^0-9]|$)'"
 SQL = {
-    "provision_text": _CURRENT + " SELECT slug, provision_id, version_id, md5(text) AS text_md5 FROM cur JOIN instrument i ON i.id = instrument_id WHERE upper(replace(number, ' ', '')) = '1.9'",
+    "provision_text": _CURRENT + " SELECT slug, provision_id, version_id, md5(text) AS text_md5 FROM cur JOIN instrument i ON i.id = instrument_id",
     "instrument_documents": f"""WITH {_LINKS}, {_BEST}, r AS (SELECT l.instrument_id, d.id AS document_id, title, row_number() OVER (PARTITION BY l.instrument_id ORDER BY date_issued DESC NULLS LAST, d.id DESC) AS rn FROM links l JOIN document d ON d.id = l.document_id)
       SELECT instrument_id, r.document_id, title, attachment_id FROM r LEFT JOIN best USING (document_id) WHERE r.rn <= 5""",
     "documents_same_tag": f"SELECT id, doc_type FROM document d WHERE EXISTS (SELECT 1 FROM provision_version v JOIN {_P} p ON p.id = v.provision_id JOIN instrument i ON i.id = p.instrument_id WHERE v.created_by_document_id = d.id AND v.source_kind = 'machine_merged' AND i.kind = 'act')",
