@@ -178,7 +178,7 @@ def learn(patterns: list[tuple[int, int]], rounds: int = 50) -> np.ndarray:
 def text_kinds(stats: DataFrame) -> DataFrame:
     """(id, kind, probability) of statistics of texts that are not blank."""
     fired = sum((F.when(F.expr(when), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, when) in enumerate(VOTES)), F.lit(0))
-    voted = stats.where("n_words > 0").withColumn("pattern", fired)
+    voted = stats.where("n_words > 0").select("id", *(n for n, _ in _STATS)).withColumn("pattern", fired)
     # At most 2 ** 12 rows.
     table = learn([(r["pattern"], r["n"]) for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()])
     rows = [(i, KINDS[int(p.argmax())], float(p.max())) for i, p in enumerate(table)]
