@@ -27,7 +27,7 @@ from lexmill.session import materialise
 
 #: Items up to this share of the capacity are small.
 SMALL = 8
-GROUPS = 64
+GROUPS = 512
 #: Rows that one salt of a size should hold.
 SALTED = 200_000
 
