@@ -52,3 +52,18 @@ def test_parents_by_id_or_number(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert H.hierarchy(H.resolve_parents(df)).count() == 0
+
+
+def test_extra_columns_do_not_matter(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 1, None, None, "1"), (2, 1, None, "1", "2")], SCHEMA)
+    for c in ("wanted", "by_id", "by_number", "node", "parent", "up", "path", "above", "stretch", "s"):
+        df = df.withColumn(c, F.lit("x"))
+    assert got(H.hierarchy(H.resolve_parents(df))) == {1: (1, 0, 1, "1", "tree"), 2: (1, 1, 0, "1/2", "tree")}
+
+
+def test_many_children_of_one_node(spark):
+    edges = {0: None} | {n: 0 for n in range(1, 3000)}
+    df = spark.createDataFrame(list(edges.items()), "node bigint, parent bigint")
+    assert got(H.hierarchy(df)) == brute(edges)

@@ -66,3 +66,14 @@ def test_update_touches_only_its_chains(spark):
 
 def test_empty(spark):
     assert V.full_history(spark.createDataFrame([], SCHEMA), "2020-01-01").count() == 0
+
+
+def test_extra_columns_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, i, "word " * 100_000 + str(i // 2), "o", day(i), None, None) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for c in ("text_key", "valid_from", "valid_to", "s", "_v", "_to", "_n"):
+        df = df.withColumn(c, F.lit(1))
+    out = [(r["valid_from"], r["valid_to"]) for r in V.full_history(df, "2020-01-01").orderBy("valid_from").collect()]
+    assert out == [(day(1), day(2)), (day(2), day(4)), (day(4), None)]
