@@ -23,10 +23,11 @@ from datetime import datetime, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise
+from lexmill.session import local_table, materialise
 
 DEFAULT_ZONE = "Asia/Kolkata"
 #: Offset histories tried for rows that state no zone.
@@ -143,8 +144,8 @@ def to_epoch(local_us: Column, zone: Column) -> Column:
 def _with_instants(rows: DataFrame) -> DataFrame:
     """Parsed rows with ``stated_us`` where the value itself fixes the instant, and ``declared``, the row's known zone."""
     spark = rows.sparkSession
-    letters = spark.createDataFrame(list(zone_letters()), "_zone string, _letters string, _minutes int")
-    zones = spark.createDataFrame([(z,) for z in sorted(available_timezones())], "_known string")
+    letters = local_table(spark, list(zone_letters()), _zone=pa.string(), _letters=pa.string(), _minutes=pa.int32())
+    zones = local_table(spark, [(z,) for z in sorted(available_timezones())], _known=pa.string())
     # Listings repeat themselves: equal readings of a record go on once.
     # The written table also keeps later filters from being spelled out down into the parsing expressions.
     rows = materialise(parse(rows).select("feed", "row_key", "field", "zone", "local_us", "offset_min", "letters", "region").distinct()).where("local_us IS NOT NULL")

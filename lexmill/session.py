@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -45,6 +46,12 @@ def materialise_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dic
     return materialise(df.observe(seen, *(c.alias(k) for k, c in counts.items()))), seen.get
 
 
+def local_table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A small table from rows on the driver, by way of Arrow: unlike plain lists, no Python worker reads it."""
+    values = list(zip(*rows)) if rows else [()] * len(columns)
+    return spark.createDataFrame(pa.table([pa.array(v, t) for v, t in zip(values, columns.values())], names=list(columns)))
+
+
 #: Bytes a core under which an input counts as small.
 SMALL_INPUT = 64 << 20
 
