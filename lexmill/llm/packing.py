@@ -20,10 +20,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise
+from lexmill.session import local_table, materialise
 
 #: Items up to this share of the capacity are small.
 SMALL = 8
@@ -154,15 +155,15 @@ def pack(items: DataFrame, capacity: int, groups: int = GROUPS) -> DataFrame:
             places.append((g, taken[g], k * times, start, times))
             taken[g] += k * times
         start += times
-    sizes = spark.createDataFrame(sorted(rounded.items()), "size int, grp int")
-    plan = spark.createDataFrame(places, "grp int, _from long, _number long, _start long, _times long")
+    sizes = local_table(spark, sorted(rounded.items()), size=pa.int32(), grp=pa.int32())
+    plan = local_table(spark, places, grp=pa.int32(), _from=pa.int64(), _number=pa.int64(), _start=pa.int64(), _times=pa.int64())
     # Both are made from the histogram: at most one row a size, and a few for each group and configuration.
     put = _ranked(parts.join(F.broadcast(sizes), "size"), "grp", ["id", "part_no"], total)
     put = put.join(F.broadcast(plan), "grp").where("rank >= _from AND rank < _from + _number")
     put = materialise(put.select("id", "part_no", "first", "size", (F.col("_start") + (F.col("rank") - F.col("_from")) % F.col("_times")).alias("container")))
     load = materialise(put.groupBy("container").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("room")))
     moves, new = best_fit({r: n for r, n in _histogram(load, "room").items() if r}, small, capacity)
-    steps = spark.createDataFrame(moves, "size int, _from long, _number long, room int, _first long")
+    steps = local_table(spark, moves, size=pa.int32(), _from=pa.int64(), _number=pa.int64(), room=pa.int32(), _first=pa.int64())
     fill = _ranked(parts.where((F.col("size") > 0) & (F.col("size") <= capacity // SMALL)), "size", ["id", "part_no"], total)
     fill = fill.join(F.broadcast(steps), "size").where("rank >= _from AND rank < _from + _number").withColumn("place", F.col("_first") + F.col("rank") - F.col("_from"))
     opened = spark.range(start, start + new).select(F.col("id").alias("container"), F.lit(capacity + 1).alias("room"), (F.col("id") - start).alias("place"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import spread
+from lexmill.session import local_table, spread
 
 KINDS = ("prose", "list", "table", "junk")
 _STATS = (
@@ -182,5 +182,5 @@ def text_kinds(stats: DataFrame) -> DataFrame:
     # At most 2 ** 12 rows.
     table = learn([(r["pattern"], r["n"]) for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()])
     rows = [(i, KINDS[int(p.argmax())], float(p.max())) for i, p in enumerate(table)]
-    kinds = stats.sparkSession.createDataFrame(rows, "pattern int, kind string, probability double")
+    kinds = local_table(stats.sparkSession, rows, pattern=pa.int32(), kind=pa.string(), probability=pa.float64())
     return voted.join(F.broadcast(kinds), "pattern").select("id", "kind", "probability")
