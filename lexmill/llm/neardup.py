@@ -8,9 +8,9 @@ most 2 * SEGMENTS - 1 symbols therefore always meet, and at a similarity of 0.7
 of about (1 - 0.53) ** 12, 1 in 8,000. Complete distances are verified on the fingerprints, then similarity exactly on the sets.
 
 Records with equal sets form a class first and only its lowest id is indexed, so any number of copies costs one row there. Keys of one
-record alone are dropped before anything is joined. Keys with more than ``HOT`` records are not joined as they are: each of their records is
-indexed again under that key together with each of its keys of the other tables, so pairs near enough still meet and others do not. Records
-that crowd even there agree in eight symbols or more and are nearly all pairs of the result, whose every pair is asked for.
+record alone are dropped before anything is joined. Keys with more than ``HOT`` records are not joined as they are: their records are dealt
+into chunks of about ``CHUNK`` and fingerprints are compared chunk against chunk, every pair once a key, so a crowd loses no pair
+that any other key would give; only pairs that agree in ``AGREE`` symbols leave the worker. This is quadratic in the size of a crowd.
 Texts travel once, and only those of candidates are read again.
 
 Defined results: null text or fewer than ``min_words`` words: no record; a null title is empty; a pair comes once, lower id first; all pairs within
@@ -24,12 +24,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.session import materialise, spread
 
-SEGMENTS, WIDTH, HOT = 12, 5, 64
+SEGMENTS, WIDTH, HOT, CHUNK = 12, 5, 64, 1024
 SYMBOLS = SEGMENTS * WIDTH
 #: Symbols that must agree in complete fingerprints: at 0.7, 42 of 60 are expected and 3.5 the deviation; fewer than 22 come in less than 1 of 10**7.
 AGREE = 22
@@ -141,26 +142,48 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, min_words: int) -> Itera
             yield pa.record_batch([part.column(0).take(pa.array(places, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["id", "shingles"])
 
 
-def _meet(keyed: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of rows (*by, rep): pairs of records under one key, and the rows of keys with more than HOT records."""
-    from pyspark.sql import Window
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return rows.column("symbols").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, SYMBOLS)
 
-    counted = materialise(keyed.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n > 1"))
-    few = counted.where(F.col("n") <= HOT).select(*by, "rep")
-    pairs = few.select(*by, F.col("rep").alias("a")).join(few.select(*by, F.col("rep").alias("b")), by).where("a < b").select("a", "b")
-    return pairs, counted.where(F.col("n") > HOT).select(*by, "rep")
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """(a, b) of the rows (lo, hi, chunk, rep, symbols) of one pair of chunks: the pairs across it that agree enough."""
+    low, high = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+    sides = [rows.filter(pa.compute.equal(rows["chunk"], c)) for c in (low, high)]
+    ids = [x.column("rep").to_numpy() for x in sides]
+    left, right = (np.ascontiguousarray(_matrix(x).T) for x in sides)
+    out_a, out_b = [], []
+    for at in range(0, len(ids[0]), 256):
+        same = np.zeros((min(256, len(ids[0]) - at), len(ids[1])), dtype=np.uint8)
+        for x, y in zip(left, right):
+            same += x[at : at + 256, None] == y[None, :]
+        i, j = np.nonzero(same >= AGREE)
+        x, y = ids[0][at + i], ids[1][j]
+        keep = x < y if low == high else x != y
+        out_a.append(np.minimum(x, y)[keep])
+        out_b.append(np.maximum(x, y)[keep])
+    empty = np.empty(0, np.int64)
+    return pa.table([pa.array(np.concatenate([empty, *out_a])), pa.array(np.concatenate([empty, *out_b]))], ["a", "b"])
+
+
+def _crowded_pairs(hot: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, rep, n), n the records under the key: all pairs under one key that agree in AGREE symbols."""
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = hot.select("key", "rep", chunks.alias("chunks"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"))
+    met = dealt.select("key", "rep", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "rep").join(reps.select("rep", "symbols"), "rep")
+    return met.select("key", "lo", "hi", "chunk", "rep", "symbols").groupBy("key", "lo", "hi").applyInArrow(_compare, "a bigint, b bigint")
 
 
 def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b) of records (rep, keys) that meet in a table."""
-    pairs, hot = _meet(reps.select(F.explode("keys").alias("key"), "rep"), ["key"])
+    """Distinct (a, b) of records (rep, symbols, keys) that meet in a table; of those that meet in a crowd, the ones that agree in AGREE symbols."""
+    keyed = reps.select(F.explode("keys").alias("key"), "rep").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    counted = materialise(keyed.where("n > 1"))
+    few = counted.where(F.col("n") <= HOT).select("key", "rep")
+    pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
+    hot = counted.where(F.col("n") > HOT)
     if hot.limit(1).count():
-        again = hot.join(reps, "rep").select("key", F.posexplode("keys").alias("_i", "other"), "rep", F.array_position("keys", F.col("key")).alias("_at"))
-        # Keys of the same segment say little more than the hot one itself.
-        again = again.where(F.floor(F.col("_i") / WIDTH) != F.floor((F.col("_at") - 1) / WIDTH)).select("key", "other", "rep")
-        closer, crowded = _meet(again, ["key", "other"])
-        rest = crowded.select("key", "other", F.col("rep").alias("a")).join(crowded.select("key", "other", F.col("rep").alias("b")), ["key", "other"]).where("a < b").select("a", "b")
-        pairs = pairs.unionByName(closer).unionByName(rest)
+        pairs = pairs.unionByName(_crowded_pairs(hot, reps))
     return pairs.distinct()
 
 
@@ -178,7 +201,7 @@ def near_duplicates(records: DataFrame, size: int = 5, similarity: tuple[int, in
     members = materialise(index.select("id", "set_key", "n").join(classes, ["set_key", "n"]).select("id", "rep").distinct())
     reps = index.join(members.where("id = rep").select("rep"), F.col("id") == F.col("rep")).select("rep", "n", "symbols", "keys").dropDuplicates(["rep"])
     reps = materialise(reps)
-    pairs = candidate_pairs(reps.select("rep", "keys"))
+    pairs = candidate_pairs(reps.select("rep", "symbols", "keys"))
     marks = reps.select("rep", "symbols")
     pairs = pairs.join(marks.select(F.col("rep").alias("a"), F.col("symbols").alias("sa")), "a").join(marks.select(F.col("rep").alias("b"), F.col("symbols").alias("sb")), "b")
     pairs = materialise(pairs.where(_agreeing(F.col("sa"), F.col("sb")) >= AGREE).select("a", "b"))

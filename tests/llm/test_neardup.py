@@ -62,6 +62,23 @@ def test_crowded_keys_lose_nothing(spark, monkeypatch):
     assert pairs(spark, rows) == brute(rows, 3, 0.7, 110)
 
 
+def test_crowds_keep_pairs_that_share_one_segment(spark, monkeypatch):
+    """Pairs at about 0.7 that meet in one table only, whose key there is hot; more chunks than one."""
+    monkeypatch.setattr(N, "HOT", 8)
+    rng = np.random.default_rng(7)
+    n = 3 * N.CHUNK // 4
+    symbols = rng.integers(0, 2**63, (2 * n, N.SYMBOLS), dtype=np.uint64)
+    symbols[:, : N.WIDTH] = symbols[0, : N.WIDTH]
+    for i in range(n):
+        for s in range(1, N.SEGMENTS):
+            at = s * N.WIDTH + rng.choice(N.WIDTH, N.WIDTH - 2, replace=False)
+            symbols[n + i, at] = symbols[i, at]
+    rows = [(i, x, k) for i, (x, k) in enumerate(zip((symbols & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16).tolist(), N.table_keys(symbols).view(np.int64).tolist()))]
+    reps = spark.createDataFrame(rows, "rep bigint, symbols array<smallint>, keys array<bigint>")
+    got = N.candidate_pairs(reps).collect()
+    assert len(got) == n and {(r["a"], r["b"]) for r in got} == {(i, n + i) for i in range(n)}
+
+
 def test_pairs_of_few_differing_symbols_always_meet():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, (40, N.SYMBOLS), dtype=np.uint64)
