@@ -1,14 +1,14 @@
 """Full-text search: analysis of texts to postings, a query language, matching, rank and headline.
 
 Postings (doc, lexeme, positions) are a dataset: analysed once, stored bucketed or partitioned by lexeme. A search reads only the postings of
-its lexemes, brings them together by document and decides there; texts are read again only for the documents shown.
+its lexemes, brings them together by document and decides there; texts are read again only for the documents shown. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,8 @@ STOP = frozenset(
     "themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
 )
 _TOKEN = re.compile(r"[^\W_]+(?:[.'’-][^\W_]+)*")
-MATCHED, RANKED = 500_000, 20_000
+#: Positions after which rows are handed on, so that long texts do not add up in a worker.
+FLUSH = 1_000_000
 
 
 def lexemes(text: str) -> list[tuple[str, int]]:
@@ -70,21 +71,29 @@ def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
     return [a for a in alternatives if a]
 
 
-def _analyse(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+def _postings(ids: list[int], words: list[str], places: list[list[int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["doc", "lexeme", "positions"])
+
+
+def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     analyse = _Analyser()
     for batch in batches:
-        ids, words, places = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = analyse((text or "")[:bound])
-            ids += [doc] * len(found)
+        ids, words, places, held = [], [], [], 0
+        for doc, text in zip(batch.column(0), batch.column(1)):
+            found = analyse(text.as_py() or "")
+            ids += [doc.as_py()] * len(found)
             words += found
             places += found.values()
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["doc", "lexeme", "positions"])
+            held += sum(map(len, found.values()))
+            if held >= FLUSH:
+                yield _postings(ids, words, places)
+                ids, words, places, held = [], [], [], 0
+        yield _postings(ids, words, places)
 
 
-def postings(texts: DataFrame, bound: int = MATCHED) -> DataFrame:
+def postings(texts: DataFrame) -> DataFrame:
     """(doc, lexeme, positions) of rows (doc, text)."""
-    return spread(texts.select(F.col("doc").cast("long"), "text")).mapInArrow(partial(_analyse, bound=bound), "doc bigint, lexeme string, positions array<int>")
+    return spread(texts.select(F.col("doc").cast("long"), "text")).mapInArrow(_analyse, "doc bigint, lexeme string, positions array<int>")
 
 
 def _followed(positions: Column, by: int):
@@ -128,12 +137,13 @@ def search(index: DataFrame, query: str) -> DataFrame:
 
 def headline(text: str, query: str, words: int = 30) -> str:
     """The stretch of the text with most of the query's lexemes, these in <b>; the first of several."""
-    text = text[:RANKED]
     good = {x for a in parse(query) for wanted, p in a if wanted for x in p}
-    tokens = [(m.start(), m.end(), stem(m.group().lower()) in good) for m in _TOKEN.finditer(text)]
+    known: dict[str, bool] = {}
+    tokens = [(m.start(), m.end(), known[w] if (w := m.group().lower()) in known else known.setdefault(w, stem(w) in good)) for m in _TOKEN.finditer(text)]
     if not tokens:
         return text[:200]
-    best = max(range(len(tokens)), key=lambda i: (sum(t[2] for t in tokens[i : i + words]), -i))
+    before = [0, *accumulate(t[2] for t in tokens)]
+    best = max(range(len(tokens)), key=lambda i: before[min(i + words, len(tokens))] - before[i])
     chosen = tokens[best : best + words]
     out, at = [], chosen[0][0]
     for a, b, hit in chosen:
