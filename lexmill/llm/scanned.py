@@ -7,8 +7,9 @@ symmetric-delete index: it and the lexicon's words are folded over single confus
 are compared by an edit distance in which the confusion pairs of recognition are cheap. The nearest is the repair; of several the one that clean texts
 have most often beside the same neighbours, then the most frequent. ``noise`` tells what is wrong where, ``repaired`` gives continuous paragraphs.
 
-The lexicon is a distributed table. Only its ``COMMON`` most frequent words are sent to the workers, as a filter that spares lookups; all
-other words are looked up by joins on distinct words, so no result depends on the size of that filter.
+The lexicon is a distributed table; a word in it is known, whatever its rank, and has no repair. Only its ``COMMON`` most frequent words are sent
+to the workers, as a filter that spares lookups; all other words are looked up by joins on distinct words under the same rules, so no result
+depends on the size of that filter.
 
 Defined results: null texts and texts of unscanned items have no cases; an empty text has none; lines are counted from 1 between LF; CR counts as
 white space; a line of furniture is neither break nor misread; equal rows give equal results; an empty lexicon repairs nothing.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from lexmill.session import materialise, spread
 
 COMMON = 50_000
-#: Words seen less often in clean texts are looked up in the index; a repair must be this frequent, and so many times more frequent than the word.
-RARE, FREQUENT, DOMINANT = 2, 5, 10
+#: Words seen less often in clean texts are looked up in the index; a repair must be this frequent.
+RARE, FREQUENT = 2, 5
 MARKS = "-­¬‐"
 #: What recognition reads, and what was printed.
 CONFUSED = (
@@ -164,7 +165,9 @@ def split_word(line: str, follows: str) -> tuple[str, str] | None:
 
 
 def _read(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Rows of role furniture, word (not common), misread (certain), break and kept (certain), and end (a line end with a mark to decide).
+    """Rows of role furniture, word (not common), mixed (the same, a misread unless it is known), break and kept (certain), and end (a line end with a mark to decide).
+
+    Words that are not common are less frequent than all that are.
 
     place counts the words of a line from 0; before and after are the words next to a word.
     """
@@ -191,7 +194,7 @@ def _read(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator
                     w = word(words[k])
                     if w and w not in common:
                         if _MIXED.match(words[k].strip(_PUNCT)):
-                            rows.append((table, item, i + 1, None, k, "misread", None, None, None, None, None))
+                            rows.append((table, item, i + 1, None, k, "mixed", w, None, None, None, None))
                         elif len(w) <= 60:
                             rows.append((table, item, i + 1, None, k, "word", w, None, None, word(words[k - 1]) if k else "", word(words[k + 1]) if k + 1 < len(words) else ""))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)] if rows else [pa.array([], f.type) for f in _ROWS], schema=_ROWS)
@@ -254,13 +257,12 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(words: DataFrame, lex: DataFrame) -> DataFrame:
-    """(word, repair, n, first, end) of distinct rows (word, n), n their own frequency or 0: all repairs at the least distance."""
+    """(word, repair, n, first, end) of distinct rows (word): all repairs at the least distance."""
     known = lex.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"\p{L}") & (F.length("word") <= 40))
     left = words.where(F.length("word").between(2, 40)).select("word").mapInArrow(_deletes, "word string, gone string")
     right = known.select("word").mapInArrow(_deletes, "word string, gone string").withColumnRenamed("word", "repair")
     pairs = left.join(right, "gone").where("word <> repair").select("word", "repair").distinct()
     scored = pairs.join(known.withColumnRenamed("word", "repair"), "repair").select("word", "repair", "n").mapInArrow(_score, "word string, repair string, n bigint, cost double, first int, end int")
-    scored = scored.join(words.withColumnRenamed("n", "own"), "word").where(F.col("n") >= F.col("own") * DOMINANT)
     least = scored.groupBy("word").agg(F.min("cost").alias("least"))
     return scored.join(least, "word").where("cost = least").select("word", "repair", "n", "first", "end")
 
@@ -365,19 +367,22 @@ def in_context(occurrences: DataFrame, found: DataFrame, clean: DataFrame) -> Da
 def _study(items: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, words, ends): what the items' lines hold, repaired words, and decided line ends."""
     lex = materialise(lexicon(clean))
-    # At most COMMON words.
-    common = {r["word"]: r["n"] for r in lex.orderBy(F.col("n").desc(), "word").limit(COMMON).collect()}
+    # At most COMMON words; a frequency that the limit divides is left out.
+    most = lex.orderBy(F.col("n").desc(), "word").limit(COMMON).collect()
+    common = {r["word"]: r["n"] for r in most if len(most) < COMMON or r["n"] > most[-1]["n"]}
     rows = items.where("text IS NOT NULL").select("item_table", F.col("item_id").cast("long").alias("item_id"), "title", "text")
     rows = materialise(rows.mapInArrow(partial(_read, common=common), _ROLES))
     asked = rows.where("word IS NOT NULL").select("word").union(rows.where("alt IS NOT NULL").select("alt")).distinct()
     asked = materialise(asked.join(lex, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
-    found = materialise(candidates(asked, lex))
+    found = materialise(candidates(asked.where("n = 0").select("word"), lex))
+    mixed = rows.where("role = 'mixed'").join(asked.where("n = 0").select("word"), "word", "left_semi").withColumn("role", F.lit("misread"))
+    rows = rows.where("role <> 'mixed'").unionByName(mixed.select(*rows.columns))
     words = in_context(rows.where("role = 'word'").select("item_table", "item_id", "line_no", "place", "word", "before", "after"), found, clean)
     facts = materialise(asked.join(most_frequent(found), "word", "left"))
     of = lambda c, p: facts.select(F.col("word").alias(c), *(F.col(x).alias(p + x) for x in ("n", "repair", "first", "end")))
     ends = rows.where("role = 'end'").join(of("word", "w_"), "word").join(of("alt", "a_"), "alt")
-    # The word with the mark wins if it is known and the joined one is not, or if only it has a repair.
-    kept = (F.col("a_n") > F.col("w_n")) | (F.col("w_n") == 0) & F.col("w_repair").isNull() & F.col("a_repair").isNotNull()
+    # The word with the mark wins if it is known and the joined one is not more frequent, or if only it has a repair.
+    kept = (F.col("a_n") > 0) & (F.col("a_n") >= F.col("w_n")) | (F.col("w_n") == 0) & F.col("w_repair").isNull() & F.col("a_repair").isNotNull()
     return rows, words, ends.withColumn("kept", kept)
 
 

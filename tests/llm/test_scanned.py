@@ -79,3 +79,14 @@ def test_paragraphs(spark):
     clean = spark.createDataFrame([(t,) for t in CLEAN], "text string")
     out = {r["item_id"]: r["paragraphs"] for r in S.repaired(items, clean).collect()}
     assert out == {1: ["The authority shall approve the arrangement and furnish the sub-standard notice.", "The department shall approve."], 3: []}
+
+
+def test_no_result_depends_on_the_filter(spark, monkeypatch):
+    """A known word with a far more frequent neighbour, a known mixed word, and a tie of both spellings of a split word."""
+    clean = spark.createDataFrame([("he was out on bail again",)] * 40 + [("the ball is in rule 2o of a subway and a sub-way",)] * 2, "text string")
+    text = "the ball was out again in rule 2o of a sub-\nway and he was out on baii again\nin rule 3z"
+    items = spark.createDataFrame([("t", 1, None, text)], "item_table string, item_id bigint, title string, text string")
+    want = {(2, "misread"), (3, "misread")}
+    for common in (S.COMMON, 12, 3, 1):
+        monkeypatch.setattr(S, "COMMON", common)
+        assert {(r["line_no"], r["kind"]) for r in S.noise(items, clean).collect()} == want, common
