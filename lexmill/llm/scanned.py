@@ -49,6 +49,8 @@ _PAGE = re.compile(
     re.I,
 )
 _MIXED = re.compile(r"^(?=.*\d)(?=.*(?:[oz]|[li]\d))[\dozli]{2,}$", re.I)
+#: A number of three digits or more with one letter in it that may be a misread digit; as many are provisions, clean texts decide.
+_LETTERED = re.compile(r"^(?=(?:\D?\d){3})\d*[sbgli]\d*$", re.I)
 
 
 def word(raw: str) -> str:
@@ -70,6 +72,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, n in raw.items():
             if len(r) <= 60 and (w := word(r)):
                 words[w] += n
+                if _LETTERED.match(bare := r.strip(_PUNCT)):
+                    words[bare.lower()] += n
         yield pa.record_batch([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
 
@@ -192,7 +196,10 @@ def _read(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator
                     rows.append((table, item, i + 1, run[p + 1] + 1, stop, role, *((joined, kept, len(parts[0])) if role == "end" else (None, None, None)), None, None))
                 for k in range(int(i in skip), stop):
                     w = word(words[k])
-                    if w and w not in common:
+                    if _LETTERED.match(bare := words[k].strip(_PUNCT)) and not _MIXED.match(bare):
+                        if bare.lower() not in common:
+                            rows.append((table, item, i + 1, None, k, "mixed", bare.lower(), None, None, None, None))
+                    elif w and w not in common:
                         if _MIXED.match(words[k].strip(_PUNCT)):
                             rows.append((table, item, i + 1, None, k, "mixed", w, None, None, None, None))
                         elif len(w) <= 60:

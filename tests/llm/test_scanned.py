@@ -90,3 +90,10 @@ def test_no_result_depends_on_the_filter(spark, monkeypatch):
     for common in (S.COMMON, 12, 3, 1):
         monkeypatch.setattr(S, "COMMON", common)
         assert {(r["line_no"], r["kind"]) for r in S.noise(items, clean).collect()} == want, common
+
+
+def test_lettered_numbers_are_measured_by_clean_texts(spark):
+    clean = spark.createDataFrame([("tax under section 194S or 115B is due in 2018",)] * 3, "text string")
+    text = "tax under section 194S or 115B\nis due in 201S or 201l\nor 20b8 or 201i\nor 12B is due"
+    items = spark.createDataFrame([("t", 1, None, text)], "item_table string, item_id bigint, title string, text string")
+    assert {(r["line_no"], r["kind"]) for r in S.noise(items, clean).collect()} == {(2, "misread"), (3, "misread")}
