@@ -57,18 +57,25 @@ def repeated_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     return occurrences(ids, frequent_lines(ids, min_docs, min_share))
 
 
-def frequent_sequences(documents: DataFrame, max_length: int = 3, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, min_share: tuple[int, int] = MIN_SHARE) -> DataFrame:
-    """(source, sequence, n_docs, total): all frequent sequences of up to ``max_length`` lines."""
+def frequent_sequences(documents: DataFrame, max_length: int | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, min_share: tuple[int, int] = MIN_SHARE) -> DataFrame:
+    """(source, sequence, n_docs, total): all frequent sequences, or those of up to ``max_length`` lines.
+
+    A level without frequent sequences is the last. A notice of k lines has 2 ** k - 1 sequences, all of which are found.
+    """
     ids = materialise(line_ids(documents, min_chars))
     level = frequent_lines(ids, min_docs, min_share).withColumn("sequence", F.array("key"))
     found = level.select("source", "sequence", "n_docs", "total")
     places = materialise(occurrences(ids, level))
     front = places.groupBy("document_id", "source", F.array("key").alias("sequence")).agg(F.min("line_no").alias("end"))
-    for _ in range(max_length - 1):
+    length = 1
+    while max_length is None or length < max_length:
         longer = front.join(places.select("document_id", "line_no", "key"), "document_id").where("line_no > end")
         longer = longer.groupBy("document_id", "source", F.concat("sequence", F.array("key")).alias("sequence")).agg(F.min("line_no").alias("end"))
         longer = materialise(longer)
-        level = _supported(longer.groupBy("source", "sequence").agg(F.count("*").alias("n_docs")), ids, min_docs, min_share)
+        level = materialise(_supported(longer.groupBy("source", "sequence").agg(F.count("*").alias("n_docs")), ids, min_docs, min_share))
+        if not level.limit(1).count():
+            break
+        length += 1
         found = found.unionByName(level.select("source", "sequence", "n_docs", "total"))
         front = longer.join(level.select("source", "sequence"), ["source", "sequence"], "left_semi")
     return found

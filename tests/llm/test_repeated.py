@@ -48,5 +48,12 @@ def test_sequences_and_removal(spark):
     assert {r["text"] for r in clean} == {f"body number {chr(97 + i)} of text" for i in range(8)} | {""}
 
 
+def test_sequences_of_any_length(spark):
+    notice = "\n".join(f"line {w} of the legal notice" for w in ("one", "two", "three", "four", "five"))
+    df = spark.createDataFrame([(i, "s", notice) for i in range(8)], "document_id bigint, source string, text string")
+    assert Counter(len(r["sequence"]) for r in R.frequent_sequences(df).collect()) == {1: 5, 2: 10, 3: 10, 4: 5, 5: 1}
+    assert R.frequent_sequences(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert R.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
