@@ -74,6 +74,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
 
 
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.decode_ids(tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")).select(F.col("id").alias("doc_id"), "text")
+
+
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_offsets(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "starts", "ends")
+
+
 def p9_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = materialise(tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return packing.pack(sizes, 2048).select(F.col("id").alias("doc_id"), "part_no", F.col("first").alias("first_token"), F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
@@ -141,7 +149,7 @@ SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_offsets": p8_offsets, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -130,3 +130,32 @@ def count_tokens(texts: DataFrame, id_col: str, text_col: str, tokenizer: str =
     """(id, n bigint) of every row, without building the lists in the result."""
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return spread(rows).mapInArrow(partial(_encode, path=tokenizer, what="n"), "id bigint, n bigint")
+
+
+def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield pa.record_batch([part.column(0), pa.array([decode(i or [], path) for i in part.column(1).to_pylist()], pa.string())], ["id", "text"])
+
+
+def decode_ids(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(id, text) of every row (id, ids); null and empty lists give an empty text."""
+    return encoded.select("id", "ids").mapInArrow(partial(_decode, path=tokenizer), "id bigint, text string")
+
+
+def _offsets(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(path)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            texts = part.column(1).to_pylist()
+            spans = [offsets(t or "", i, path) for t, i in zip(texts, encoder.encode(texts))]
+            sides = [pa.array([[x[k] for x in s] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.record_batch([part.column(0), *sides], ["id", "starts", "ends"])
+
+
+def token_offsets(texts: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(id, starts, ends) of every row: the range of characters of each id of its text."""
+    rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(partial(_offsets, path=tokenizer), "id bigint, starts array<int>, ends array<int>")

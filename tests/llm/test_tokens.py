@@ -50,3 +50,12 @@ def test_rows(spark):
     assert T.decode(next(r["ids"] for r in out if r["id"] == 4)) == "long " * 50_000
     assert {r["id"]: r["n"] for r in T.count_tokens(df, "doc_id", "text").collect()} == {r["id"]: len(r["ids"]) for r in out}
     assert T.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_decoding_and_offsets_over_tables(spark):
+    rows = [(1, "naïve सं🙂 x"), (2, ""), (3, "two  words"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    encoded = T.encode(df, "doc_id", "text")
+    assert {r["id"]: r["text"] for r in T.decode_ids(encoded).collect()} == {i: t or "" for i, t in rows}
+    ids = {r["id"]: r["ids"] for r in encoded.collect()}
+    assert {r["id"]: list(zip(r["starts"], r["ends"])) for r in T.token_offsets(df, "doc_id", "text").collect()} == {i: T.offsets(t or "", ids[i]) for i, t in rows}
