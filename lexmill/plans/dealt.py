@@ -38,23 +38,36 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.select(F.col("entity").alias("provision_id"), day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "provision").select("id", F.col("instrument_id").alias("scope"), "parent_id", "parent_number", "number")
-    tree = H.hierarchy(H.resolve_parents(rows))
+    return H.resolve_parents(rows)
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every provision of a tree with each of its descendants."""
+    return H.ancestor_pairs(_edges(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = H.hierarchy(_edges(spark, sf_dir))
     return tree.select(F.col("node").alias("provision_id"), F.col("root").alias("root_id"), "depth", "n_descendants", "path", "state")
 
 
-QUERIES = {"p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_zones": p2_zones, "p3_found": p3_found, "p5_found": p5_found, "p5_descendants": p5_descendants}
 
-SQL = {
-    "p3_found": f"WITH {HISTORY} SELECT provision_id, coalesce(strftime(valid_from, '%Y-%m-%d'), '') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to FROM hist",
-    "p5_found": r"""
+#: The parents, and the paths from the roots down, as SQL.
+_DOWN = r"""
 WITH RECURSIVE q AS (SELECT DISTINCT id, instrument_id AS s, parent_id, lower(regexp_replace(parent_number, '[ \t\r\n]+', '', 'g')) AS w, lower(regexp_replace(number, '[ \t\r\n]+', '', 'g')) AS n FROM provision WHERE id IS NOT NULL),
 numbers AS (SELECT s, n, min(id) AS id FROM q WHERE s IS NOT NULL AND n IS NOT NULL GROUP BY 1, 2),
 e AS (SELECT q.id, CASE WHEN b.id IS NOT NULL THEN b.id ELSE m.id END AS parent FROM q LEFT JOIN q b ON b.id = q.parent_id LEFT JOIN numbers m ON m.s = q.s AND m.n = q.w),
 down AS (SELECT id, [id] AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.id, list_append(down.path, e.id) FROM down JOIN e ON e.parent = down.id),
-up AS (SELECT id AS start, parent AS cur FROM e WHERE id NOT IN (SELECT id FROM down) UNION SELECT start, parent FROM up JOIN e ON e.id = up.cur),
+"""
+
+SQL = {
+    "p3_found": f"WITH {HISTORY} SELECT provision_id, coalesce(strftime(valid_from, '%Y-%m-%d'), '') AS valid_from, coalesce(strftime(valid_to, '%Y-%m-%d'), '') AS valid_to FROM hist",
+    "p5_found": _DOWN + r"""up AS (SELECT id AS start, parent AS cur FROM e WHERE id NOT IN (SELECT id FROM down) UNION SELECT start, parent FROM up JOIN e ON e.id = up.cur),
 pairs AS (SELECT unnest(path[:-2]) AS id FROM down), below AS (SELECT id, count(*) AS n FROM pairs GROUP BY 1)
 SELECT down.id AS provision_id, path[1] AS root_id, len(path) - 1 AS depth, coalesce(n, 0) AS n_descendants, array_to_string(path, '/') AS path, 'tree' AS state FROM down LEFT JOIN below USING (id)
 UNION ALL SELECT start, -1, -1, -1, '', CASE WHEN bool_or(start = cur) THEN 'cycle' ELSE 'below_cycle' END FROM up GROUP BY start""",
+    "p5_descendants": _DOWN.rstrip().rstrip(",") + " SELECT path[i] AS ancestor, id AS node, len(path) - i AS distance FROM (SELECT id, path, unnest(range(1, len(path))) AS i FROM down)",
 }
