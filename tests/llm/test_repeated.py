@@ -57,3 +57,15 @@ def test_sequences_of_any_length(spark):
 
 def test_empty(spark):
     assert R.repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_runs_of_a_long_notice(spark):
+    notice = [f"notice line number {c * 12}" for c in "abcdefghijklmnopqrst"]
+    rows = [(d, "s", "\n".join([f"body of the text {d * 'x'} and more", *notice[: 20 if d < 8 else 3], "other words " + d * "y"])) for d in range(10)]
+    df = spark.createDataFrame(rows, "document_id bigint, source string, text string")
+    runs, matches = R.frequent_runs(R.line_ids(df))
+    assert runs.count() == 20 * 21 // 2
+    longest = {r["n_docs"] for r in runs.collect() if len(r["sequence"]) == 20}
+    assert longest == {8}
+    got = {(r["document_id"], r["line_no"]) for r in R.repeated_lines(df).collect()}
+    assert got == {(d, i + 2) for d in range(10) for i in range(20 if d < 8 else 3)}
