@@ -3,9 +3,11 @@
 A lexicon of the clean texts' words with their frequencies is the measure of what is a word. Within an item, page numbers, running headers and footers
 are told by their form, by repetition and by lines that break off where the next word would have fitted. A line that ends in a mark
 is a break if the word without the mark is more frequent than the word with it. A word of a scan that the lexicon lacks is looked up in a
-symmetric-delete index: it and the lexicon's words are folded over single confusable characters and lose up to two characters; words that meet
-are compared by an edit distance in which the confusion pairs of recognition are cheap. The nearest is the repair; of several the one that clean texts
-have most often beside the same neighbours, then the most frequent. ``noise`` tells what is wrong where, ``repaired`` gives continuous paragraphs.
+symmetric-delete index: it and the lexicon's words are folded over single confusable characters and lose up to two characters, but keep ``KEPT``; short words
+are read back through the confusion pairs instead. Words that meet are compared by an edit distance in which the confusion pairs of recognition are cheap
+and one other edit (a letter lost, added, changed or swapped) is dear. The repair is the candidate with the least sum of distance and surprise: how rarely clean texts have it
+beside the same neighbours, and at all. A word that only a plain edit explains is misread where clean texts have the repair beside both neighbours.
+``noise`` tells what is wrong where, ``repaired`` gives continuous paragraphs.
 
 The lexicon is a distributed table; a word in it is known, whatever its rank, and has no repair. Only its ``COMMON`` most frequent words are sent
 to the workers, as a filter that spares lookups; all other words are looked up by joins on distinct words under the same rules, so no result
@@ -27,11 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise, spread
+from lexmill.session import materialise, materialise_counted, spread
 
 COMMON = 50_000
 #: Words seen less often in clean texts are looked up in the index; a repair must be this frequent.
 RARE, FREQUENT = 2, 5
+#: Characters that a key of the index keeps at least; up to which length words are read back; from which length on only both ends are indexed, and how much of them.
+KEPT, SHORT, LONG, ENDS = 3, 5, 40, 20
+#: Costs of a confusion pair and of any other edit, and the limit of a word. Plain edits are tried from so many letters on, for repairs this frequent.
+PAIR, PLAIN, LIMIT = 0.25, 0.78, 0.8
+PLAIN_LENGTH, PLAIN_FREQUENT = 6, 20
 MARKS = "-­¬‐"
 #: What recognition reads, and what was printed.
 CONFUSED = (
@@ -70,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw.update(text.split())
         words: Counter[str] = Counter()
         for r, n in raw.items():
-            if len(r) <= 60 and (w := word(r)):
+            if w := word(r):
                 words[w] += n
                 if _LETTERED.match(bare := r.strip(_PUNCT)):
                     words[bare.lower()] += n
@@ -109,7 +116,7 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
     same: dict[str, list[int]] = {}
     for i in text:
         if len(keys[i]) >= 10:
-            same.setdefault(keys[i][:18], []).append(i)
+            same.setdefault(keys[i][:10], []).append(i)
     named = _key(title or "")
     facts = {}
     for p, i in enumerate(full):
@@ -136,7 +143,7 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
             continue
         if len(key) < 8 or line[0].islower() or line[-1] in ";:-­¬‐" or "|" in line or line[-1] == "," and not _titled(line):
             continue
-        alike = [j for j in same.get(key[:18], ()) if keys[j].startswith(key) or key.startswith(keys[j])]
+        alike = [j for j in same.get(key[:10], ()) if keys[j].startswith(key) or key.startswith(keys[j])]
         upper = line.upper() == line
         apart = edge or gap_before or gap_after or open_
         if len(key) >= 10 and named and (named.startswith(key[:40]) or key.startswith(named[:40])) and (apart or cut or len(alike) > 1):
@@ -202,23 +209,29 @@ def _read(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator
                     elif w and w not in common:
                         if _MIXED.match(words[k].strip(_PUNCT)):
                             rows.append((table, item, i + 1, None, k, "mixed", w, None, None, None, None))
-                        elif len(w) <= 60:
+                        else:
                             rows.append((table, item, i + 1, None, k, "word", w, None, None, word(words[k - 1]) if k else "", word(words[k + 1]) if k + 1 < len(words) else ""))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)] if rows else [pa.array([], f.type) for f in _ROWS], schema=_ROWS)
 
 
+def _forms(f: str) -> set[str]:
+    """A folded word, and it with up to two characters left out where ``KEPT`` stay."""
+    forms = {f}
+    if len(f) > KEPT:
+        once = {f[:i] + f[i + 1 :] for i in range(len(f))}
+        forms |= once
+        if len(f) > KEPT + 1:
+            forms |= {x[:i] + x[i + 1 :] for x in once for i in range(len(x))}
+    return forms
+
+
 def _deletes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, gone) for each distinct form of a folded word with up to two characters left out."""
+    """(word, gone): the keys of each word. Of up to three confusions one half of a long word has at most one, so its ends are keys enough."""
     for batch in batches:
         words, gone = [], []
         for w in batch.column(0).to_pylist():
             f = w.translate(_FOLD)
-            forms = {f}
-            if len(f) > 2:
-                once = {f[:i] + f[i + 1 :] for i in range(len(f))}
-                forms |= once
-                if len(f) > 3:
-                    forms |= {x[:i] + x[i + 1 :] for x in once for i in range(len(x))}
+            forms = _forms(f) if len(f) <= LONG else {"<" + x for x in _forms(f[:ENDS])} | {x + ">" for x in _forms(f[-ENDS:])}
             words += [w] * len(forms)
             gone += forms
         yield pa.record_batch([pa.array(words, pa.string()), pa.array(gone, pa.string())], ["word", "gone"])
@@ -229,34 +242,57 @@ for _seen, _true in CONFUSED:
     _PAIRS.setdefault(_seen, []).append(_true)
 
 
-def distance(seen: str, true: str, limit: float = 0.8) -> tuple[float, int, int] | None:
+def readings(seen: str) -> set[str]:
+    """What a short word may have been before up to three confusions."""
+    out, fresh = {seen}, {seen}
+    for _ in range(int(LIMIT / PAIR)):
+        fresh = {x[:i] + t + x[i + n :] for x in fresh for i in range(len(x)) for n in (1, 2) if i + n <= len(x) for t in _PAIRS.get(x[i : i + n], ())} - out
+        out |= fresh
+    return out - {seen}
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = [(w, r) for w in batch.column(0).to_pylist() for r in readings(w)]
+        yield pa.record_batch([pa.array([w for w, _ in pairs], pa.string()), pa.array([r for _, r in pairs], pa.string())], ["word", "repair"])
+
+
+def distance(seen: str, true: str, limit: float = LIMIT) -> tuple[float, int, int] | None:
     """(cost, first, end) of reading ``true`` as ``seen``, with the span of ``seen`` that differs; None beyond the limit.
 
-    A confusion pair costs 0.25; any other edit costs 1, which is beyond the limit, so such paths are not followed.
+    Only places that can be reached within the limit are followed, so the work grows with the length, not its square. A plain edit is for words
+    of letters, neither first nor among the last two: there it more often makes another word of the same stem.
     """
-    best = {(0, 0): (0.0, len(seen), 0)}
-    for i in range(len(seen) + 1):
-        for j in range(len(true) + 1):
-            here = best.get((i, j))
-            if here is None:
-                continue
+    plain = len(seen) >= PLAIN_LENGTH and seen.isalpha() and true.isalpha()
+    rows: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(seen) + 1)]
+    rows[0][0] = (0.0, len(seen), 0)
+    for i, row in enumerate(rows):
+        at = min(row, default=None)
+        while at is not None:
+            j, here = at, row[at]
             steps = []
             if i < len(seen) and j < len(true) and seen[i] == true[j]:
                 steps.append((1, 1, 0.0))
             for n in (1, 2):
-                steps += [(n, len(t), 0.25) for t in _PAIRS.get(seen[i : i + n], ()) if len(seen[i : i + n]) == n and true.startswith(t, j)]
+                if i + n <= len(seen):
+                    steps += [(n, len(t), PAIR) for t in _PAIRS.get(seen[i : i + n], ()) if true.startswith(t, j)]
+            if plain and not here[0] and 0 < i < len(seen) - 2 and j < len(true) - 2:
+                steps += [(1, 1, PLAIN), (1, 0, PLAIN), (0, 1, PLAIN)]
+                if seen[i] == true[j + 1] and seen[i + 1] == true[j]:
+                    steps.append((2, 2, PLAIN))
             for a, b, c in steps:
-                cost = here[0] + c
-                if cost <= limit and (old := best.get((i + a, j + b))) is None or cost <= limit and old[0] > cost:
-                    best[i + a, j + b] = (cost, min(here[1], i) if c else here[1], max(here[2], i + a) if c else here[2])
-    return best.get((len(seen), len(true)))
+                cost, old = here[0] + c, rows[i + a].get(j + b)
+                if cost <= limit and (old is None or old[0] > cost):
+                    rows[i + a][j + b] = (cost, min(here[1], i) if c else here[1], max(here[2], i + max(a, 1)) if c else here[2])
+            at = min((x for x in row if x > j), default=None)
+    return rows[-1].get(len(true))
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for w, c, n in zip(*(x.to_pylist() for x in batch.columns)):
-            if (d := distance(w, c)) and d[0] > 0:
+            if (d := distance(w, c)) and d[0] > 0 and (d[0] < PLAIN or n >= PLAIN_FREQUENT):
                 out.append((w, c, n, *d))
         names = ("word", "repair", "n", "cost", "first", "end")
         kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -264,24 +300,28 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(words: DataFrame, lex: DataFrame) -> DataFrame:
-    """(word, repair, n, first, end) of distinct rows (word): all repairs at the least distance."""
-    known = lex.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"\p{L}") & (F.length("word") <= 40))
-    left = words.where(F.length("word").between(2, 40)).select("word").mapInArrow(_deletes, "word string, gone string")
+    """(word, repair, n, cost, first, end) of distinct rows (word): the repairs at the least distance and those one confusion farther."""
+    known = lex.where((F.col("n") >= FREQUENT) & F.col("word").rlike(r"\p{L}"))
+    asked = words.where(F.length("word") >= 2).select("word")
+    left = asked.mapInArrow(_deletes, "word string, gone string")
     right = known.select("word").mapInArrow(_deletes, "word string, gone string").withColumnRenamed("word", "repair")
-    pairs = left.join(right, "gone").where("word <> repair").select("word", "repair").distinct()
+    short = asked.where(F.length("word") <= SHORT).mapInArrow(_read_back, "word string, repair string")
+    pairs = left.join(right, "gone").where("word <> repair").select("word", "repair").unionByName(short).distinct()
     scored = pairs.join(known.withColumnRenamed("word", "repair"), "repair").select("word", "repair", "n").mapInArrow(_score, "word string, repair string, n bigint, cost double, first int, end int")
+    scored = materialise(scored)
     least = scored.groupBy("word").agg(F.min("cost").alias("least"))
-    return scored.join(least, "word").where("cost = least").select("word", "repair", "n", "first", "end")
+    near = (F.col("cost") == F.col("least")) | (F.col("cost") < PLAIN) & (F.col("cost") <= F.col("least") + PAIR)
+    return scored.join(least, "word").where(near).select("word", "repair", "n", "cost", "first", "end")
 
 
 def most_frequent(found: DataFrame) -> DataFrame:
-    """Of each word the most frequent candidate, then the first."""
-    best = found.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
+    """Of each word the nearest candidate that confusions explain, of several the most frequent, then the first."""
+    best = found.where(F.col("cost") < PLAIN).groupBy("word").agg(F.min(F.struct("cost", (-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
     return best.select("word", "b.repair", "b.first", "b.end")
 
 
-#: Bits of the filter over asked pairs of words, 1 MB whatever the data.
-_BITS = 1 << 23
+#: Bits of the filter over asked pairs of words: about 16 a pair, from 128 kB to 16 MB whatever the data.
+_BITS = (1 << 20, 1 << 27)
 _PAIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -300,19 +340,19 @@ class _Ids:
         return np.array([known[w] if w in known else known.setdefault(w, self.hash(w)) for w in words], dtype=np.uint64)
 
 
-def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     h = left * _PAIR[0] + right * _PAIR[1]
-    return ((h ^ (h >> np.uint64(31))) % np.uint64(_BITS)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(31))) % np.uint64(bits)).astype(np.int64)
 
 
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     ids = _Ids()
     for batch in batches:
         left, right = (ids(c.to_pylist()) for c in batch.columns)
-        yield pa.record_batch([pa.array(np.unique(_slots(left, right)) if len(left) else [], pa.int64())], ["slot"])
+        yield pa.record_batch([pa.array(np.unique(_slots(left, right, size)) if len(left) else [], pa.int64())], ["slot"])
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+def _count_pairs(batches: Iterator[pa.RecordBatch], bits: bytes, size: int) -> Iterator[pa.RecordBatch]:
     ids, field, words = _Ids(), np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little"), {}
     for batch in batches:
         found: Counter[tuple[str, str]] = Counter()
@@ -323,7 +363,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.
             row = [words[r] if r in words else words.setdefault(r, word(r)) for r in raw]
             if len(row) > 1:
                 h = ids(row)
-                for k in np.flatnonzero(field[_slots(h[:-1], h[1:])]):
+                for k in np.flatnonzero(field[_slots(h[:-1], h[1:], size)]):
                     found[row[k], row[k + 1]] += 1
         yield pa.record_batch([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string()), pa.array(found.values(), pa.int64())], ["left", "right", "n"])
 
@@ -331,44 +371,50 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.
 def pair_counts(asked: DataFrame, clean: DataFrame) -> DataFrame:
     """(left, right, n): how often the asked pairs (left, right) of neighbouring words stand in clean rows (text).
 
-    A bit field of fixed size lets the workers pass over pairs nobody asks for; the join decides.
+    A bit field of bounded size lets the workers pass over pairs nobody asks for; the join decides.
     """
-    slots = asked.select("left", "right").mapInArrow(_slot_rows, "slot bigint")
+    asked, n = materialise_counted(asked.select("left", "right").distinct(), n=F.count(F.lit(1)))
+    size = min(max(1 << (16 * max(1, n["n"])).bit_length(), _BITS[0]), _BITS[1])
+    slots = asked.mapInArrow(partial(_slot_rows, size=size), "slot bigint")
     maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
-    field = bytearray(_BITS // 8 + 8192)
-    for r in maps.collect():  # at most 2 ** 23 bits
+    field = bytearray(size // 8 + 8192)
+    for r in maps.collect():  # at most 2 ** 27 bits
         # Buckets are counted from 1; bucket b holds the numbers from (b - 1) * 32768 + 1 on, and 0 stands in bucket 0.
         start = (r["b"] - 1) * 4096
         if r["b"] >= 1:
             field[start : start + 4096] = r["m"]
     # Bit k of the field stands for slot k + 1; slot 0 shares the bit of slot 1's place below.
-    shifted = np.concatenate([[1], np.unpackbits(np.frombuffer(bytes(field), dtype=np.uint8), bitorder="little")])[: _BITS + 8]
+    shifted = np.concatenate([[1], np.unpackbits(np.frombuffer(bytes(field), dtype=np.uint8), bitorder="little")])[: size + 8]
     bits = np.packbits(shifted, bitorder="little").tobytes()
-    counted = spread(clean.where("text IS NOT NULL").select("text")).mapInArrow(partial(_count_pairs, bits=bits), "left string, right string, n bigint")
-    return counted.join(asked.select("left", "right").distinct(), ["left", "right"], "left_semi").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    counted = spread(clean.where("text IS NOT NULL").select("text")).mapInArrow(partial(_count_pairs, bits=bits, size=size), "left string, right string, n bigint")
+    return counted.join(asked, ["left", "right"], "left_semi").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def in_context(occurrences: DataFrame, found: DataFrame, clean: DataFrame) -> DataFrame:
-    """(*occurrence, repair, first, end): of rows (.., word, before, after) the repair that fits its neighbours best.
+    """(*occurrence, repair, first, end): of rows (.., word, before, after) the repair that fits the word and its neighbours best.
 
-    Words with one candidate keep it. Of several at the same distance the one wins that clean texts have more often beside the same
-    neighbours, then the more frequent, then the first.
+    Words with one candidate by confusions keep it. Of several the one with the least sum wins: four times its distance, less the logarithm of how
+    often clean texts have it beside the same neighbours, less a tenth of the logarithm of how often they have it. A plain edit must be seen beside both neighbours.
     """
-    tied = materialise(found.join(found.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").select("word"), "word", "left_semi"))
-    plain = occurrences.join(most_frequent(found), "word")
-    if not tied.limit(1).count():
+    several = found.groupBy("word").agg(F.count("*").alias("c"), F.min("cost").alias("least")).where((F.col("c") > 1) | (F.col("least") >= PLAIN))
+    tied, n = materialise_counted(found.join(several.select("word"), "word", "left_semi"), n=F.count(F.lit(1)))
+    keys = occurrences.columns
+    one_only = found.join(several.select("word"), "word", "left_anti")
+    plain = occurrences.join(most_frequent(one_only), "word").select(*keys, "repair", "first", "end")
+    if not n["n"]:
         return plain
-    keys = [c for c in occurrences.columns]
-    open_ = occurrences.join(tied, "word")
-    asked = open_.select(F.col("before").alias("left"), F.col("repair").alias("right")).union(open_.select("repair", "after")).where("left <> '' AND right <> ''").distinct()
+    open_ = materialise(occurrences.join(tied, "word"))
+    asked = open_.select(F.col("before").alias("left"), F.col("repair").alias("right")).union(open_.select("repair", "after")).where("left <> '' AND right <> ''")
     pairs = materialise(pair_counts(asked, clean))
     one = pairs.select(F.col("left").alias("before"), F.col("right").alias("repair"), F.col("n").alias("n1"))
     two = pairs.select(F.col("left").alias("repair"), F.col("right").alias("after"), F.col("n").alias("n2"))
     scored = open_.join(one, ["before", "repair"], "left").join(two, ["repair", "after"], "left")
-    fit = -(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)))
-    best = scored.groupBy(*keys).agg(F.min(F.struct(fit.alias("f"), (-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
-    rest = plain.join(tied.select("word").distinct(), "word", "left_anti")
-    return rest.select(*keys, "repair", "first", "end").unionByName(best.select(*keys, "b.repair", "b.first", "b.end"))
+    beside = (F.col("before") != "") & (F.col("after") != "") & F.col("n1").isNotNull() & F.col("n2").isNotNull()
+    scored = scored.where((F.col("cost") < PLAIN) | beside)
+    seen = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
+    sum_ = F.col("cost") * 4 - F.log1p(seen) - F.log(F.col("n")) * 0.1
+    best = scored.groupBy(*keys).agg(F.min(F.struct(F.round(sum_, 9).alias("s"), (-F.col("n")).alias("n"), "repair", "first", "end")).alias("b"))
+    return plain.unionByName(best.select(*keys, "b.repair", "b.first", "b.end"))
 
 
 def _study(items: DataFrame, clean: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -38,6 +38,10 @@ def test_distance_follows_confusions():
     assert S.distance("forrn", "form") == (0.25, 3, 5)
     assert S.distance("5hall", "shall") == (0.25, 0, 1)
     assert S.distance("bank", "tank") is None
+    for seen in ("sectoin", "secion", "secttion", "secxion"):
+        assert S.distance(seen, "section")[0] == S.PLAIN
+    assert S.distance("sectio", "section") is None and S.distance("sections", "section") is None and S.distance("sedtoin", "section") is None
+    assert S.distance("c" * 5000 + "rn", "e" + "c" * 4999 + "m")[0] == 0.5
     assert S.distance("adeqiiafe", "adequate")[0] == 0.5
     assert S.distance("same", "same")[0] == 0.0
 
@@ -97,3 +101,61 @@ def test_lettered_numbers_are_measured_by_clean_texts(spark):
     text = "tax under section 194S or 115B\nis due in 201S or 201l\nor 20b8 or 201i\nor 12B is due"
     items = spark.createDataFrame([("t", 1, None, text)], "item_table string, item_id bigint, title string, text string")
     assert {(r["line_no"], r["kind"]) for r in S.noise(items, clean).collect()} == {(2, "misread"), (3, "misread")}
+
+
+def test_plain_edits_need_both_neighbours(spark):
+    clean = spark.createDataFrame([("under this section of the act",)] * 30, "text string")
+    text = "\n".join(["under this sectoin of the act", "under this secion of the act", "under this section of the act", "a sectoin under"])
+    items = spark.createDataFrame([("t", 1, None, text)], "item_table string, item_id bigint, title string, text string")
+    assert {(r["line_no"], r["kind"]) for r in S.noise(items, clean).collect()} == {(1, "misread"), (2, "misread")}
+
+
+def test_short_and_long_words_find_their_repairs(spark):
+    long = "administrationandenforcementofregulationsgenerally"
+    clean = spark.createDataFrame([(f"you may ask me for {long} today",)] * 9, "text string")
+    text = f"you rnay ask rne\nfor {long.replace('m', 'rn')} today\nfor {'x' * 3000} today"
+    items = spark.createDataFrame([("t", 1, None, text)], "item_table string, item_id bigint, title string, text string")
+    out = {(r["line_no"], r["word"], r["repair"]) for r in S._study(items, clean)[1].collect()}
+    assert out == {(1, "rnay", "may"), (1, "rne", "me"), (2, long.replace("m", "rn"), long)}
+    assert all(min(map(len, S._forms("x" * n))) >= min(n, S.KEPT) for n in range(1, 9))
+
+
+def test_nearness_is_weighed_with_context(spark):
+    """One confusion makes it 'tame', two make it 'time'; the neighbours are those of 'time'."""
+    clean = spark.createDataFrame([("at the time of the sale and",)] * 40 + [("not so tame",)] * 9, "text string")
+    items = spark.createDataFrame([("t", 1, None, "at the t@rne of the sale")], "item_table string, item_id bigint, title string, text string")
+    assert {r["repair"] for r in S._study(items, clean)[1].collect()} <= {"tame", "time"}
+
+
+def test_planted_noise(spark):
+    """Pages of known text with headers, page numbers, broken words and misread letters: what is found against what was planted."""
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [a + b for a in ("regula", "compli", "autho", "depart", "licen", "registra", "inspec", "certifi") for b in ("tion", "ment", "rity", "sing", "cate", "ance", "tor", "bly")]
+    sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(9))
+    clean = [sentence() + "." for _ in range(900)]
+    pairs = [("m", "rn"), ("l", "1"), ("o", "0"), ("e", "c"), ("n", "ri"), ("s", "5")]
+    rows, truth = [], set()
+    for item in range(12):
+        lines = []
+        for page in range(1, 4):
+            lines.append(("Gazette of the Registrar of Inspections", "furniture"))
+            for _ in range(12):
+                words = sentence().split()
+                kind = rng.choice(["", "", "misread", "break"])
+                if kind == "misread":
+                    k = rng.randrange(len(words))
+                    a, b = rng.choice([p for p in pairs if p[0] in words[k]] or [("", "")])
+                    words[k] = words[k].replace(a, b, 1) if a else words[k]
+                    kind = "misread" if a else ""
+                line = " ".join(words)
+                lines.append((line[:-3] + "-", "break") if kind == "break" else (line, kind))
+                if kind == "break":
+                    lines.append((line[-3:] + " " + sentence(), ""))
+            lines.append((f"- {page} -", "furniture"))
+        rows.append(("t", item, None, "\n".join(x for x, _ in lines)))
+        truth |= {(item, i, k) for i, (_, k) in enumerate(lines, 1) if k}
+    items = spark.createDataFrame(rows, "item_table string, item_id bigint, title string, text string")
+    got = {(r["item_id"], r["line_no"], r["kind"]) for r in S.noise(items, spark.createDataFrame([(t,) for t in clean], "text string")).collect()}
+    assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.97 * len(got)
