@@ -1,9 +1,12 @@
 """Per-document text statistics, and text types from noisy labelling functions.
 
-``statistics`` computes the statistics of each text. Thresholds on them are labelling functions: each votes for one kind or abstains. Which kind
-a document is and how often each function fires on each kind are learnt together by expectation-maximisation on the functions'
-agreements; hand labels are not used. The vote patterns of all documents are counted first: with twelve functions there are at most 4,096 patterns,
-whatever the corpus, so the iterations run over that table on the driver and the posterior of each pattern is joined back.
+``statistics`` computes the statistics of each text. Thresholds on them are labelling functions: each votes for one kind or abstains; one more votes for the
+kind that most characters' lines look like. Which kind a document is and how often each function casts each vote on each kind are learnt together
+by expectation-maximisation on the functions' agreements; hand labels are not used. The vote patterns of all documents are counted first: with twelve
+thresholds and one function of five values there are at most 5 * 2 ** 12 patterns, whatever the corpus, so the iterations run over that table on the driver
+and the posterior of each pattern is joined back. ``accuracies`` tells what was learnt of each function.
+
+Words are what lies between space, tab, CR and LF; letters, marks and digits are Unicode L, M and Nd; everything else in a word is a symbol.
 
 Defined results: null, empty and blank texts have no words, null shares and no kind; texts of any length are read whole; equal rows
 give equal results; an empty table gives an empty result.
@@ -25,8 +28,12 @@ KINDS = ("prose", "list", "table", "junk")
 _STATS = (
     ("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_share", pa.float64()), ("punctuated_lines", pa.float64()), ("common_share", pa.float64()),
     ("digit_share", pa.float64()), ("distinct_share", pa.float64()), ("words_a_line", pa.float64()),
+    ("cell_share", pa.float64()), ("mark_share", pa.float64()), ("leader_share", pa.float64()), ("strung", pa.float64()), ("odd_share", pa.float64()),
     ("prose_share", pa.float64()), ("list_share", pa.float64()), ("table_share", pa.float64()), ("junk_share", pa.float64()),
 )
+#: Statistics that are measures of the text alone; those after them are shares of characters by the look of their lines.
+PLAIN = tuple(n for n, _ in _STATS[:8])
+_BLANK = " \t\r\n"
 _SCHEMA = "id bigint, " + ", ".join(f"{n} {'bigint' if t == pa.int64() else 'double'}" for n, t in _STATS)
 
 
@@ -41,6 +48,11 @@ class Reader:
         self.item = regex.compile(r"^(?:[-*•–◦▪·]|\(?(?:[0-9]{1,3}|[ivxlcdm]{1,6}|[a-z])[.)])\s", regex.I).match
         self.leader = regex.compile(r"(?:\.{4,}|(?:\. ){4,})\s*[0-9ivxl]*$", regex.I).search
         self.gaps = regex.compile(r"\S(?: {2,}|\t+)(?=\S)").findall
+        self.digits = regex.compile(r"\p{Nd}").findall
+        self.words = regex.compile(r"[^ \t\r\n]+").findall
+        #: What str.split takes for white space beside space, tab, CR and LF.
+        self.other_space = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.odd = regex.compile(r"[\ufffd\p{Co}\p{Cn}\p{Cc}]").findall
 
     def line(self, s: str, low: list[str], known: int, letters: int, words: list[str], digits: int) -> str:
         """The kind of a stripped line that is not empty."""
@@ -81,23 +93,32 @@ class Reader:
             return "junk"
         return "prose" if share >= 0.08 else "list"
 
+    def cells(self, s: str, words: list[str], commas: int, plain: int) -> bool:
+        """Whether a line is cut by bars, tabs, wide gaps or commas into cells of few words, or rules such lines off."""
+        if not plain:
+            return "--" in s and ("|" in s or "+" in s)
+        bars = s.count("|") if "||" not in s else 0
+        gaps = len(self.gaps(s)) if "\t" in s or "  " in s else 0
+        return bars >= 2 or gaps >= 2 and len(words) <= 3 * (gaps + 1) or commas >= 2 and commas >= len(words) and len(s) <= 40 * (commas + 1)
+
     def text(self, text: str | None) -> list | None:
         """The statistics in the order of _STATS, or None for a text without any."""
-        if not text or not text.strip():
+        if not text or not text.strip(_BLANK):
             return None
         weights = dict.fromkeys(KINDS, 0)
-        n_words = length = known_all = digits_all = letters_all = dense_all = ended = lines = 0
+        n_words = length = known_all = digits_all = letters_all = dense_all = ended = lines = cells = marks = leaders = strung = 0
         distinct: set[str] = set()
-        common = self.common
-        for line in text.lower().split("\n"):
-            s = line.strip()
+        common, text = self.common, text.lower()
+        split = self.words if self.other_space(text) else str.split
+        for line in text.split("\n"):
+            s = line.strip(_BLANK)
             if not s:
                 continue
-            words, low = s.split(), self.letters(s)
+            words, low = split(s), self.letters(s)
             letters = sum(map(len, low))
             known = sum(w in common for w in low)
-            digits = sum(map(s.count, "0123456789")) if letters < len(s) else 0
             dense = sum(map(len, words))
+            digits = 0 if letters == dense else sum(map(s.count, "0123456789")) if s.isascii() else len(self.digits(s))
             weights[self.line(s, low, known, letters, words, digits)] += dense
             n_words += len(words)
             length += letters
@@ -108,10 +129,20 @@ class Reader:
             distinct.update(words)
             ended += s[-1] in ".?!:;।"
             lines += 1
+            commas = s.count(",")
+            if self.cells(s, words, commas, letters + digits):
+                cells += dense
+            if self.leader(s):
+                leaders += dense
+            elif self.item(s):
+                marks += dense
+            strung += commas + s.count(";") + s.count("•") + s.count("/")
         total = max(1, sum(weights.values()))
+        odd = 0 if text.isascii() else sum(c not in _BLANK for c in self.odd(text))
         return [
             n_words, dense_all / n_words, (dense_all - length - digits_all) / dense_all, ended / lines, known_all / letters_all if letters_all else 0.0,
-            digits_all / dense_all, len(distinct) / n_words, n_words / lines, *(weights[k] / total for k in KINDS),
+            digits_all / dense_all, len(distinct) / n_words, n_words / lines, cells / dense_all, marks / dense_all, leaders / dense_all, strung / n_words, odd / dense_all,
+            *(weights[k] / total for k in KINDS),
         ]
 
 
@@ -131,56 +162,96 @@ def statistics(texts: DataFrame, id_col: str, text_col: str, common: frozenset[s
 
 #: Labelling functions: the kind voted for, and when.
 VOTES = (
-    ("table", "table_share > 0.5"),
-    ("table", "table_share > 0.25 AND digit_share > 0.15"),
-    ("list", "list_share > 0.5"),
-    ("list", "list_share > 0.3 AND common_share < 0.12 AND symbol_share < 0.25"),
+    ("table", "cell_share > 0.5 AND common_share < 0.25"),
+    ("table", "digit_share > 0.4"),
+    ("list", "mark_share > 0.5 AND common_share < 0.15"),
+    ("list", "leader_share > 0.5"),
+    ("list", "strung > 0.4 AND common_share < 0.12 AND cell_share < 0.5"),
     ("list", "words_a_line <= 5 AND digit_share < 0.1 AND symbol_share < 0.15 AND common_share < 0.2"),
-    ("junk", "junk_share > 0.5"),
-    ("junk", "symbol_share > 0.3 AND list_share < 0.5 AND table_share < 0.5"),
+    ("junk", "symbol_share > 0.3 AND cell_share < 0.5 AND mark_share < 0.5 AND leader_share < 0.5"),
     ("junk", "mean_word_length > 25 OR distinct_share < 0.05 AND n_words > 10"),
-    ("junk", "common_share < 0.05 AND list_share < 0.3 AND table_share < 0.3"),
-    ("prose", "prose_share > 0.5"),
+    ("junk", "odd_share > 0.03"),
+    ("junk", "common_share < 0.05 AND words_a_line > 8 AND strung < 0.4 AND cell_share < 0.5"),
     ("prose", "common_share > 0.2"),
     ("prose", "punctuated_lines > 0.5 AND words_a_line > 8 AND common_share > 0.12"),
 )
+#: The function of five values: the kind of most characters by the look of their lines, or none.
+LOOK = "CASE WHEN prose_share > 0.5 THEN 1 WHEN list_share > 0.5 THEN 2 WHEN table_share > 0.5 THEN 3 WHEN junk_share > 0.5 THEN 4 ELSE 0 END"
 #: How often a function is taken to fire before anything is learnt, on its own kind and on others, and the kinds' shares.
-FIRES, MISFIRES, SHARES = 0.85, 0.05, (0.7, 0.1, 0.1, 0.1)
+FIRES, MISFIRES, SHARES = 0.6, 0.05, (0.7, 0.1, 0.1, 0.1)
+#: Documents that the values before learning weigh as much as.
+PRIOR = 20.0
+
 
+def learn(patterns: list[tuple[int, int]], rounds: int = 60) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """(posterior of each vote pattern, how often each threshold fires on each kind, how often each look is given to each kind) from (pattern, documents).
 
-def learn(patterns: list[tuple[int, int]], rounds: int = 50) -> np.ndarray:
-    """Posterior (2 ** len(VOTES), kinds) of every vote pattern, from (pattern, number of documents)."""
-    bits = (np.arange(2 ** len(VOTES))[:, None] >> np.arange(len(VOTES))) & 1
-    counts = np.zeros(len(bits))
-    for p, n in patterns:
-        counts[p] += n
+    A pattern has a bit for each threshold and the look above them.
+    """
+    n = len(VOTES)
+    keys, counts = np.array([p for p, _ in patterns], dtype=np.int64), np.array([c for _, c in patterns], dtype=float)
+    bits = (keys[:, None] >> np.arange(n)) & 1
+    looks = np.eye(len(KINDS) + 1)[keys >> n]
     own = np.array([[k == kind for kind in KINDS] for k, _ in VOTES])
-    fires, shares = np.where(own, FIRES, MISFIRES), np.array(SHARES)
+    before = np.where(own, FIRES, MISFIRES)
+    looked_before = np.vstack([np.full(len(KINDS), 0.1), np.full((len(KINDS), len(KINDS)), 0.05) + 0.7 * np.eye(len(KINDS))])
+    fires, looked, shares = before, looked_before, np.array(SHARES)
 
     def posterior() -> np.ndarray:
-        log = bits @ np.log(fires) + (1 - bits) @ np.log(1 - fires) + np.log(shares)
-        log -= log.max(axis=1, keepdims=True)
-        p = np.exp(log)
+        log = bits @ np.log(fires) + (1 - bits) @ np.log(1 - fires) + looks @ np.log(looked) + np.log(shares)
+        p = np.exp(log - log.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
     for _ in range(rounds):
         weight = posterior() * counts[:, None]
         mass = weight.sum(axis=0)
-        # Each function keeps a prior of some documents, so a kind that is rare or missing keeps its meaning.
-        prior = 20.0
-        fires = (bits.T @ weight + prior * np.where(own, FIRES, MISFIRES)) / (mass + prior)
-        # A function votes for its kind: it may not come to stand for another.
-        fires = np.where(own, np.maximum(fires, 0.3), np.minimum(fires, 0.6)).clip(1e-4, 1 - 1e-4)
-        shares = (mass + prior * np.array(SHARES)) / (mass.sum() + prior)
-    return posterior()
+        # The prior keeps the meaning of a kind that is rare or missing.
+        fires = ((bits.T @ weight + PRIOR * before) / (mass + PRIOR)).clip(1e-4, 1 - 1e-4)
+        looked = (looks.T @ weight + PRIOR * looked_before) / (mass + PRIOR)
+        shares = (mass + PRIOR * np.array(SHARES)) / (mass.sum() + PRIOR)
+    return dict(zip(keys.tolist(), posterior())), fires, looked
+
+
+def _voted(stats: DataFrame) -> DataFrame:
+    fired = sum((F.when(F.expr(when), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, when) in enumerate(VOTES)), F.lit(0))
+    return stats.where("n_words > 0").select("id", *(n for n, _ in _STATS)).withColumn("pattern", fired + F.expr(LOOK) * (1 << len(VOTES)))
+
+
+def _patterns(voted: DataFrame) -> list[tuple[int, int]]:
+    """At most 5 * 2 ** 12 rows."""
+    return sorted((r["pattern"], r["n"]) for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect())
 
 
 def text_kinds(stats: DataFrame) -> DataFrame:
     """(id, kind, probability) of statistics of texts that are not blank."""
-    fired = sum((F.when(F.expr(when), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, when) in enumerate(VOTES)), F.lit(0))
-    voted = stats.where("n_words > 0").select("id", *(n for n, _ in _STATS)).withColumn("pattern", fired)
-    # At most 2 ** 12 rows.
-    table = learn([(r["pattern"], r["n"]) for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()])
-    rows = [(i, KINDS[int(p.argmax())], float(p.max())) for i, p in enumerate(table)]
+    voted = _voted(stats)
+    rows = [(i, KINDS[int(p.argmax())], float(p.max())) for i, p in learn(_patterns(voted))[0].items()]
     kinds = local_table(stats.sparkSession, rows, pattern=pa.int32(), kind=pa.string(), probability=pa.float64())
     return voted.join(F.broadcast(kinds), "pattern").select("id", "kind", "probability")
+
+
+def accuracies(stats: DataFrame) -> DataFrame:
+    """(function, kind, n_fired, fires_on_kind, fires_on_others, precision, majority_agrees): what was learnt of each function on all documents.
+
+    precision is the share of the function's votes that the posterior agrees with; majority_agrees the share of them where the plain majority of all votes does.
+    """
+    patterns = _patterns(_voted(stats))
+    posterior, fires, looked = learn(patterns)
+    n = len(VOTES)
+
+    def votes(p: int) -> list[int]:
+        cast = [KINDS.index(k) for i, (k, _) in enumerate(VOTES) if p >> i & 1]
+        return cast + [(p >> n) - 1] * (p >> n > 0)
+
+    major = {p: max(range(len(KINDS)), key=lambda k: votes(p).count(k)) for p, _ in patterns}
+    names = [(f"{k}: {when}", KINDS.index(k), (lambda p, i=i: p >> i & 1), fires[i]) for i, (k, when) in enumerate(VOTES)]
+    names += [(f"look: {kind}_share > 0.5", k, (lambda p, k=k: p >> n == k + 1), looked[k + 1]) for k, kind in enumerate(KINDS)]
+    rows = []
+    for name, k, fired, rate in names:
+        hits = [(p, c) for p, c in patterns if fired(p)]
+        total = sum(c for _, c in hits)
+        share = lambda f: float(sum(c * f(p) for p, c in hits) / total) if total else None
+        others = float(np.mean([rate[j] for j in range(len(KINDS)) if j != k]))
+        rows.append((name, KINDS[k], int(total), round(float(rate[k]), 4), round(others, 4), share(lambda p: float(posterior[p][k])), share(lambda p: float(major[p] == k))))
+    kinds = dict(function=pa.string(), kind=pa.string(), n_fired=pa.int64(), fires_on_kind=pa.float64(), fires_on_others=pa.float64(), precision=pa.float64(), majority_agrees=pa.float64())
+    return local_table(stats.sparkSession, rows, **kinds)

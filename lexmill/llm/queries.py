@@ -102,7 +102,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir).withColumnRenamed("id", "doc_id")
+    """The statistics of each text, shares to six digits."""
+    rows = _statistics(spark, sf_dir)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", *(F.round(c, 6).alias(c) for c in quality.PLAIN[1:]))
+
+
+def p10_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was learnt of each labelling function."""
+    return quality.accuracies(materialise(_statistics(spark, sf_dir)))
 
 
 _P1 = r"""
@@ -148,9 +155,23 @@ SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c
 """
 
 
+_P10 = r"""
+WITH c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_word WHERE word IS NOT NULL),
+t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+x AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[ \t\r\n]+'), lambda w: w <> '') AS w, regexp_extract_all(t, '[\p{L}\p{M}]+') AS l,
+        list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s, chr(32) || chr(9) || chr(13))), lambda s: s <> '') AS s FROM t),
+n AS (SELECT doc_id, w, l, s, len(w) AS n, list_sum(list_transform(w, lambda a: length(a)))::BIGINT AS dense, coalesce(list_sum(list_transform(l, lambda a: length(a))), 0)::BIGINT AS letters,
+        length(regexp_replace(t, '[^\p{Nd}]+', '', 'g')) AS digits, len(list_filter(l, lambda a: list_contains(c, a))) AS known, len(list_filter(s, lambda a: right(a, 1) IN ('.', '?', '!', ':', ';', '।'))) AS ended FROM x, c)
+SELECT doc_id, n AS n_words, CASE WHEN n > 0 THEN round(dense::DOUBLE / n, 6) END AS mean_word_length, CASE WHEN n > 0 THEN round((dense - letters - digits)::DOUBLE / dense, 6) END AS symbol_share,
+  CASE WHEN n > 0 THEN round(ended::DOUBLE / len(s), 6) END AS punctuated_lines, CASE WHEN n > 0 THEN CASE WHEN len(l) > 0 THEN round(known::DOUBLE / len(l), 6) ELSE 0.0 END END AS common_share,
+  CASE WHEN n > 0 THEN round(digits::DOUBLE / dense, 6) END AS digit_share, CASE WHEN n > 0 THEN round(len(list_distinct(w))::DOUBLE / n, 6) END AS distinct_share, CASE WHEN n > 0 THEN round(n::DOUBLE / len(s), 6) END AS words_a_line
+FROM n
+"""
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_offsets": p8_offsets, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics}
+    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_offsets": p8_offsets, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_accuracies": p10_accuracies}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p6_found": _P6, "p7_found": _P7}
+    return {"p1_found": _P1, "p6_found": _P6, "p7_found": _P7, "p10_statistics": _P10}
