@@ -5,15 +5,15 @@ Parsing, conversion and the choice of a zone are column expressions and equi joi
 ``normalise_timestamps`` takes rows (feed, row_key, field, value, zone, month_first) and returns the distinct instants:
 
 * a zone or offset in the value holds; letters are those in use in the row's zone;
-* a value without one follows the row's zone; rows that state no zone get one by ``estimate_zones``: every candidate offset
-  history is laid over the zoneless values, an instant that no stated instant of the same record confirms is a violation, and
-  the candidate with the fewest violations is kept, the default winning ties;
+* a value without one follows the row's zone; rows that state no zone get one by ``estimate_zones``, which lays candidate offset histories over
+  the zoneless values of a feed and field in the order of the feed and keeps the one with the fewest violations;
 * a wall time that occurs twice is the earlier one, a skipped one takes the offset before the change;
 * a date alone is its midnight; all-digit values count seconds, from twelve digits on milliseconds; digits finer than a
   microsecond are cut off.
 
 Defined results: null, blank, unreadable and impossible values give no row; an unknown zone name counts as no zone; equal
-rows give one row; an empty input gives an empty result. Columns beside the named ones are ignored.
+rows give one row; an empty input gives an empty result. Columns beside the named ones are ignored. ``seq`` (the place in the feed) and ``seen_us`` (when
+the row was taken in) may be there or not, and null.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ from lexmill.session import local_table, materialise
 DEFAULT_ZONE = "Asia/Kolkata"
 #: Offset histories tried for rows that state no zone.
 CANDIDATE_ZONES = ("Asia/Kolkata", "UTC", "Europe/London", "America/New_York", "Australia/Sydney", "Asia/Kathmandu", "Asia/Singapore")
+#: Places along a feed at which its offset history may change, what a change costs in violations, how many fewer violations
+#: another zone than the default must have, and how long before it was taken in a value may lie.
+SLOTS, CHANGE, LEAD, LAG_US = 256, 4, 3, 400 * 86_400_000_000
 
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH_NAME = r"^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
@@ -112,14 +115,15 @@ def _read(p: Column, n: Column, first_is_month: Column) -> Column:
         known = F.when((hours <= 18) & (minutes < 60), (hours * 60 + minutes) * F.when(m[1] == "-", -1).otherwise(1))
         offset = F.when(m[0].isin("Z", "UTC", "GMT", "UT"), F.lit(0)).when(m[1] != "", known)
         letters = F.when((m[1] == "") & (m[0] != "") & ~m[0].isin("Z", "UTC", "GMT", "UT"), m[0])
-        return F.struct(_wall(p, n, first_is_month).alias("local_us"), offset.alias("offset_min"), letters.alias("letters"), region.alias("region"))
+        unit = F.when(p[_PARTS.index("h")] == "", 86_400_000_000).when(p[_PARTS.index("s")] == "", 60_000_000).otherwise(1_000_000).cast("long")
+        return F.struct(_wall(p, n, first_is_month).alias("local_us"), offset.alias("offset_min"), letters.alias("letters"), region.alias("region"), unit.alias("unit_us"))
 
     number = r"([+-])(\d{1,2})(?::?(\d{2}))?$"
     return _let(F.array(mark, *(F.regexp_extract(mark, number, g) for g in (1, 2, 3))), rest)
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """Adds local_us (wall clock in microseconds), offset_min, letters and region to rows with value and month_first.
+    """Adds local_us (wall clock in microseconds), offset_min, letters, region and unit_us (how exact it is) to rows with value and month_first.
 
     local_us is null for values that name no moment. offset_min is set where the value itself gives an offset, and for
     all-digit values.
@@ -129,7 +133,7 @@ def parse(rows: DataFrame) -> DataFrame:
         digits = F.when(v.rlike(r"^[0-9]{1,18}$"), v.cast("long"))
         micros = F.when(digits < 100_000_000_000, digits * 1_000_000).when(digits < 10**15, digits * 1000)
         none = F.lit(None).cast("string")
-        counted = F.struct(micros.alias("local_us"), F.lit(0).alias("offset_min"), none.alias("letters"), none.alias("region"))
+        counted = F.struct(micros.alias("local_us"), F.lit(0).alias("offset_min"), none.alias("letters"), none.alias("region"), F.lit(1_000_000).cast("long").alias("unit_us"))
         named = _let(_fields(v), lambda p: _let(F.transform(p, _number), lambda n: _read(p, n, (p[_PARTS.index("sep")] == "/") & F.col("month_first"))))
         return F.when(digits.isNotNull(), counted).otherwise(named)
 
@@ -148,7 +152,7 @@ def _with_instants(rows: DataFrame) -> DataFrame:
     zones = local_table(spark, [(z,) for z in sorted(available_timezones())], _known=pa.string())
     # Listings repeat themselves: equal readings of a record go on once.
     # The written table also keeps later filters from being spelled out down into the parsing expressions.
-    rows = materialise(parse(rows).select("feed", "row_key", "field", "zone", "local_us", "offset_min", "letters", "region").distinct()).where("local_us IS NOT NULL")
+    rows = materialise(parse(feed_columns(rows)).select("feed", "row_key", "field", "zone", "local_us", "offset_min", "letters", "region", "unit_us", "seq", "seen_us").distinct()).where("local_us IS NOT NULL")
     # Both tables come from the time zone database: about 600 zones and 1,000 pairs, whatever the data.
     rows = rows.join(F.broadcast(zones), rows["zone"] == zones["_known"], "left").withColumnRenamed("_known", "declared")
     regions = zones.withColumnRenamed("_known", "_region")
@@ -158,38 +162,103 @@ def _with_instants(rows: DataFrame) -> DataFrame:
     stated = F.when(minutes.isNotNull(), F.col("local_us") - minutes * F.lit(60_000_000).cast("long"))
     stated = F.coalesce(stated, F.when(F.col("letters").isNull() & F.col("_region").isNotNull(), to_epoch(F.col("local_us"), F.col("_region"))))
     readable = F.col("local_us").isNotNull() & (F.col("letters").isNull() | stated.isNotNull())
-    return rows.withColumn("stated_us", stated).where(readable).select("feed", "row_key", "field", "local_us", "stated_us", "declared")
+    return rows.withColumn("stated_us", stated).where(readable).select("feed", "row_key", "field", "local_us", "unit_us", "stated_us", "declared", "seq", "seen_us")
+
+
+def _evidence(parsed: DataFrame) -> DataFrame:
+    """(feed, field, seq, local_us, bounds) of zoneless values that can be tested: the ranges [lo, hi] of instants in one of which the value must begin.
+
+    A record that states the same field with a zone elsewhere bounds it by that instant, as exactly as both are written; a row that says when it was taken in
+    bounds it by that time and ``LAG_US`` before.
+    """
+    loose = parsed.where("stated_us IS NULL AND declared IS NULL").select("feed", "row_key", "field", "seq", "local_us", "unit_us", "seen_us").distinct()
+    anchors = parsed.where("stated_us IS NOT NULL").select("feed", "row_key", "field", F.col("stated_us").alias("at"), F.col("unit_us").alias("exact")).distinct()
+    again = loose.join(anchors, ["feed", "row_key", "field"]).groupBy("feed", "row_key", "field", "seq", "local_us", "unit_us").agg(
+        F.collect_set(F.struct((F.col("at") - F.col("unit_us") + 1).alias("lo"), (F.col("at") + F.col("exact") - 1).alias("hi"))).alias("bounds")
+    )  # as many as a record has readings
+    taken = loose.where("seen_us IS NOT NULL").withColumn("bounds", F.array(F.struct((F.col("seen_us") - LAG_US).alias("lo"), F.col("seen_us").alias("hi"))))
+    columns = ["feed", "field", "seq", "local_us", "bounds"]
+    return again.select(columns).unionByName(taken.select(columns))
+
+
+def _pieces(tested: dict[tuple[int, str], tuple[int, int]], order: list[str]) -> list[tuple[int, str]]:
+    """(first slot, zone) of the history with the least violations and changes, from (slot, zone): (values, violations); earlier zones win ties."""
+    slots = sorted({s for s, _ in tested})
+    wrong = {z: [tested.get((s, z), (0, 0))[1] for s in slots] for z in order}
+    # The default is followed throughout unless another zone is ahead of it by more than chance.
+    cost = {z: (0 if z == order[0] else LEAD) for z in order}
+    back: list[dict[str, str]] = []
+    for k in range(len(slots)):
+        best = min(order, key=lambda z: cost[z])
+        before = {z: z if cost[z] <= cost[best] + CHANGE else best for z in order}
+        cost = {z: min(cost[z], cost[best] + CHANGE) + wrong[z][k] for z in order}
+        back.append(before)
+    zone, path = min(order, key=lambda z: cost[z]), []
+    for k in range(len(slots) - 1, -1, -1):
+        path.append((slots[k], zone))
+        zone = back[k][zone]
+    path.reverse()
+    return [(s if i else 0, z) for i, (s, z) in enumerate(path) if not i or z != path[i - 1][1]]
+
+
+_HISTORY = dict(
+    feed=pa.string(), field=pa.string(), from_seq=pa.int64(), to_seq=pa.int64(), zone=pa.string(), n_tested=pa.int64(), violations=pa.int64(), next_zone=pa.string(), next_violations=pa.int64()
+)
 
 
 def estimate_zones(parsed: DataFrame, candidates: Iterable[str] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE) -> DataFrame:
-    """(feed, field, zone, n_values, violations): for each feed and field, the offset history of rows that state no zone.
+    """(feed, field, from_seq, to_seq, zone, n_tested, violations, next_zone, next_violations): the offset history of rows that state no zone.
 
-    A zoneless wall time under the right history falls on an instant that the same record states elsewhere with a zone. For each
-    candidate the values that miss are counted; fewest violations win, then the default, then the earlier candidate. Only values
-    of records with some stated instant say anything, but those without weigh equally on every candidate.
+    Along each feed and field the tested values are counted by slot of ``seq`` and candidate, and so are those that the candidate puts outside all their bounds. The
+    history is the path through the slots with the least violations, where a change of zone costs ``CHANGE`` and leaving the default ``LEAD`` of them.
+    next_zone is the best other zone over the same stretch. Streams without any tested value are not listed and follow the default.
     """
+    spark = parsed.sparkSession
     order = [default, *(c for c in candidates if c != default)]
-    loose = parsed.where("stated_us IS NULL AND declared IS NULL").select("feed", "row_key", "field", "local_us").distinct()
-    tried = loose.withColumn("_try", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(z).alias("zone")) for i, z in enumerate(order)))))
-    tried = tried.select("feed", "row_key", "field", F.col("_try.rank").alias("rank"), F.col("_try.zone").alias("zone"), to_epoch(F.col("local_us"), F.col("_try.zone")).alias("epoch_us"))
-    anchors = parsed.where("stated_us IS NOT NULL").select("feed", "row_key", "field", F.col("stated_us").alias("epoch_us"), F.lit(1).alias("hit")).distinct()
-    votes = tried.join(anchors, ["feed", "row_key", "field", "epoch_us"], "left")
-    votes = votes.groupBy("feed", "field", "zone", "rank").agg(F.count("*").alias("n_values"), (F.count("*") - F.count("hit")).alias("violations"))
-    return votes.groupBy("feed", "field").agg(F.min(F.struct("violations", "rank", "zone", "n_values")).alias("b")).select("feed", "field", "b.zone", "b.n_values", "b.violations")
+    known = _evidence(parsed).withColumn("seq", F.coalesce("seq", F.lit(0)))
+    ends = known.groupBy("feed", "field").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))  # one row a stream
+    slot = F.floor((F.col("seq") - F.col("_low")) * SLOTS / (F.col("_high") - F.col("_low") + 1)).cast("int")
+    tried = known.join(F.broadcast(ends), ["feed", "field"]).withColumn("slot", slot)
+    tried = tried.withColumn("_try", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(z).alias("zone")) for i, z in enumerate(order)))))
+    tried = tried.withColumn("_at", to_epoch(F.col("local_us"), F.col("_try.zone")))
+    miss = ~F.exists("bounds", lambda b: (F.col("_at") >= b["lo"]) & (F.col("_at") <= b["hi"]))
+    votes = tried.groupBy("feed", "field", "_low", "_high", "slot", F.col("_try.zone").alias("zone")).agg(F.count("*").alias("n"), F.count_if(miss).alias("violations"))
+    streams: dict[tuple, dict[tuple[int, str], tuple[int, int]]] = {}
+    for r in votes.collect():  # at most SLOTS * candidates rows a stream
+        streams.setdefault((r["feed"], r["field"], r["_low"], r["_high"]), {})[r["slot"], r["zone"]] = (r["n"], r["violations"])
+    rows = []
+    for (feed, field, low, high), tested in sorted(streams.items()):
+        pieces = _pieces(tested, order)
+        for i, (first, zone) in enumerate(pieces):
+            last = pieces[i + 1][0] if i + 1 < len(pieces) else SLOTS
+            total = {z: [sum(v[k] for (s, y), v in tested.items() if y == z and first <= s < last) for k in (0, 1)] for z in order}
+            other = min((z for z in order if z != zone), key=lambda z: total[z][1], default=None)
+            at = lambda s: low + -(-s * (high - low + 1) // SLOTS)  # noqa: E731, B023
+            rows.append((feed, field, at(first) if i else None, at(last) if last < SLOTS else None, zone, *total[zone], other, total[other][1] if other else None))
+    return local_table(spark, rows, **_HISTORY)
 
 
 def normalise_timestamps(rows: DataFrame, candidates: Iterable[str] = CANDIDATE_ZONES, default: str = DEFAULT_ZONE) -> DataFrame:
-    """Distinct (feed, row_key, field, epoch_us) of rows (feed, row_key, field, value, zone, month_first)."""
-    rows = rows.select("feed", "row_key", "field", "value", "zone", F.coalesce("month_first", F.lit(False)).alias("month_first")).where("value IS NOT NULL AND row_key IS NOT NULL")
+    """Distinct (feed, row_key, field, epoch_us) of rows (feed, row_key, field, value, zone, month_first[, seq, seen_us])."""
     parsed = _with_instants(rows)
-    chosen = estimate_zones(parsed, candidates, default).select("feed", "field", F.col("zone").alias("_chosen"))
-    # One row for each feed and field.
-    zoned = parsed.join(F.broadcast(chosen), ["feed", "field"], "left")
+    chosen = estimate_zones(parsed, candidates, default).select(F.col("feed").alias("_feed"), F.col("field").alias("_field"), "from_seq", "to_seq", F.col("zone").alias("_chosen"))
+    seq = F.coalesce("seq", F.lit(0))
+    within = (F.col("from_seq").isNull() | (seq >= F.col("from_seq"))) & (F.col("to_seq").isNull() | (seq < F.col("to_seq")))
+    # A few rows for each feed and field.
+    zoned = parsed.join(F.broadcast(chosen), (F.col("feed") == F.col("_feed")) & (F.col("field") == F.col("_field")) & within, "left")
     epoch = F.coalesce(F.col("stated_us"), to_epoch(F.col("local_us"), F.coalesce(F.col("declared"), F.col("_chosen"), F.lit(default))))
     return zoned.select("feed", "row_key", "field", epoch.alias("epoch_us")).distinct()
 
 
-def feed_rows(df: DataFrame, feed: str, key: str, fields: dict[str, str | None], month_first: bool) -> DataFrame:
-    """The operator's input from a listing: fields names the value columns and, for each, its zone column."""
+def feed_columns(rows: DataFrame) -> DataFrame:
+    """The columns that are read, of rows that have a value and a key; optional ones are null where they are not there."""
+    of = lambda c: (F.col(c) if c in rows.columns else F.lit(None)).cast("long").alias(c)
+    return rows.select("feed", "row_key", "field", "value", "zone", F.coalesce("month_first", F.lit(False)).alias("month_first"), of("seq"), of("seen_us")).where("value IS NOT NULL AND row_key IS NOT NULL")
+
+
+def feed_rows(df: DataFrame, feed: str, key: str, fields: dict[str, str | None], month_first: bool, seq: Column | None = None) -> DataFrame:
+    """The operator's input from a listing: fields names the value columns and, for each, its zone column; seq is the place in the feed."""
     parts = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), (F.col(z) if z else F.lit(None)).cast("string").alias("zone")) for f, z in fields.items()]
-    return df.select(F.lit(feed).alias("feed"), F.col(key).cast("string").alias("row_key"), F.explode(F.array(*parts)).alias("_x")).select("feed", "row_key", "_x.*", F.lit(month_first).alias("month_first"))
+    return df.select(F.lit(feed).alias("feed"), F.col(key).cast("string").alias("row_key"), (F.lit(None) if seq is None else seq).cast("long").alias("seq"), F.explode(F.array(*parts)).alias("_x")).select(
+        "feed", "row_key", "_x.*", F.lit(month_first).alias("month_first"), "seq"
+    )

@@ -13,8 +13,8 @@ from lexmill.tables import table
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cbic = T.feed_rows(table(spark, sf_dir, "cbic_notifications_central_tax_2025"), "cbic", "id", {"notificationDt": None, "createdDt": "nodeZone"}, False)
-    mca = T.feed_rows(table(spark, sf_dir, "mca_notifications_listing"), "mca", "docIdentifier", {"UploadDate": "uploadZone", "notificationdate": None}, True)
+    cbic = T.feed_rows(table(spark, sf_dir, "cbic_notifications_central_tax_2025"), "cbic", "id", {"notificationDt": None, "createdDt": "nodeZone"}, False, F.col("orderId"))
+    mca = T.feed_rows(table(spark, sf_dir, "mca_notifications_listing"), "mca", "docIdentifier", {"UploadDate": "uploadZone", "notificationdate": None}, True, F.regexp_extract("docIdentifier", r"(\d{1,18})$", 1).try_cast("long"))
     return cbic.unionByName(mca)
 
 
@@ -24,8 +24,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset history chosen for rows that state no zone, with its violations."""
-    rows = _feeds(spark, sf_dir).where("value IS NOT NULL AND row_key IS NOT NULL")
-    return T.estimate_zones(T._with_instants(rows))
+    return T.estimate_zones(T._with_instants(_feeds(spark, sf_dir)))
 
 
 def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 
@@ -69,3 +70,63 @@ def test_zone_is_estimated_from_stated_instants(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "feed string, row_key string, field string, value string, zone string, month_first boolean, extra int")
     assert T.normalise_timestamps(df).count() == 0
+
+
+def feed(rows):
+    """(row_key, value, zone, seq, seen) as rows of one feed."""
+    return [("f", str(k), "x", v, z, False, s, seen) for k, v, z, s, seen in rows]
+
+
+FEED = "feed string, row_key string, field string, value string, zone string, month_first boolean, seq bigint, seen_us bigint"
+
+
+def history(spark, rows):
+    parsed = T._with_instants(spark.createDataFrame(rows, FEED))
+    return [(r["zone"], r["from_seq"], r["violations"], r["next_violations"]) for r in T.estimate_zones(parsed).orderBy("from_seq").collect()]
+
+
+def stamps(zone, numbers, restated):
+    """Records that write a local time, every ``restated``-th of them again with its offset."""
+    rows = []
+    for k in numbers:
+        at = datetime(2021, 1, 1, tzinfo=timezone.utc) + timedelta(hours=37 * k)
+        rows.append((k, at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), None, k, None))
+        if k % restated == 0:
+            rows.append((k, at.strftime("%Y-%m-%dT%H:%M:%SZ"), None, k, None))
+    return rows
+
+
+def test_a_feed_in_another_zone(spark):
+    rows = feed(stamps("America/New_York", range(200), 5))
+    ((zone, _, violations, following),) = history(spark, rows)
+    assert zone == "America/New_York" and violations == 0 < following
+    got = {(r["row_key"], r["epoch_us"]) for r in T.normalise_timestamps(spark.createDataFrame(rows, FEED)).collect()}
+    assert got == {(str(k), 1609459200_000_000 + 37 * 3600_000_000 * k) for k in range(200)}
+
+
+def test_a_feed_that_moves_half_way(spark):
+    rows = feed(stamps("Asia/Kolkata", range(300), 3) + stamps("Europe/London", range(300, 600), 3))
+    found = history(spark, rows)
+    assert [z for z, *_ in found] == ["Asia/Kolkata", "Europe/London"] and abs(found[1][1] - 300) <= 6
+    got = {(r["row_key"], r["epoch_us"]) for r in T.normalise_timestamps(spark.createDataFrame(rows, FEED)).collect()}
+    true = {(str(k), 1609459200_000_000 + 37 * 3600_000_000 * k) for k in range(600)}
+    assert len(got & true) >= 590
+
+
+def test_ingestion_times_tell_the_zone(spark):
+    """No value has a zone, but none can lie after the time it was taken in, and all were taken in within the hour."""
+    rows = []
+    for k in range(120):
+        at = datetime(2021, 1, 1, tzinfo=timezone.utc) + timedelta(hours=37 * k)
+        rows.append((k, at.astimezone(ZoneInfo("Australia/Sydney")).strftime("%Y-%m-%d %H:%M:%S"), None, k, int(at.timestamp() + 1800) * 1_000_000))
+    assert history(spark, feed(rows))[0][0] == "Australia/Sydney"
+
+
+def test_without_evidence_the_default_holds(spark):
+    rows = feed([(1, "2020-01-01 10:00:00", None, None, None), (2, "2020-01-01", None, 5, None)])
+    assert history(spark, rows) == []
+    got = {(r["row_key"], r["epoch_us"]) for r in T.normalise_timestamps(spark.createDataFrame(rows, FEED)).collect()}
+    assert got == {("1", 1577853000_000_000), ("2", 1577817000_000_000)}
+    # One odd restatement is no evidence against it.
+    odd = feed([(1, "2020-01-01 10:00:00", None, 1, None), (1, "2020-01-01T10:00:00Z", None, 1, None)])
+    assert history(spark, odd)[0][0] == "Asia/Kolkata"
