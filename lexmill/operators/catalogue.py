@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.history import build_chains, changes
+from lexmill.session import maintained
 
 
 def newest(*c: str) -> list[Column]:
@@ -18,11 +19,19 @@ def newest(*c: str) -> list[Column]:
 
 
 def unique_provisions(provision: DataFrame) -> DataFrame:
-    return provision.dropDuplicates(["id"])
+    """One row a provision, from the maintained table where there is one."""
+    held = maintained(provision, "provisions", lambda rows: rows.dropDuplicates(["id"]))
+    return provision.dropDuplicates(["id"]) if held is None else held
 
 
 def versions(provision_version: DataFrame, with_text: bool = False) -> DataFrame:
-    """(provision_id, valid_from, valid_to, source_kind, version_id[, text]): the periods of each provision."""
+    """(provision_id, valid_from, valid_to, source_kind, version_id[, text]): the periods of each provision, from the maintained table where there is one."""
+    columns = ["provision_id", "valid_from", "valid_to", "source_kind", "version_id", *(["text"] if with_text else [])]
+    held = maintained(provision_version, "versions", _build_versions)
+    return (_build_versions(provision_version, with_text) if held is None else held).select(columns)
+
+
+def _build_versions(provision_version: DataFrame, with_text: bool = True) -> DataFrame:
     raw = provision_version.select(F.col("provision_id").alias("entity"), "id", "text", "source_kind", "effective_from", "effective_to", "created_at")
     chains = build_chains(changes(raw)).select(F.col("entity").alias("provision_id"), "valid_from", "valid_to", "source_kind", F.col("id").alias("version_id"))
     if with_text:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -65,3 +67,75 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_INPUT and len(df.inputFiles()) < cores else df
+
+
+class Files:
+    """Small files of the shared file system, by way of Hadoop's client."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark._jvm
+        self.fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(path)) if self.fs.exists(path) else []
+
+    def read(self, name: str) -> bytes:
+        stream = self.fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def publish(self, name: str, content: bytes) -> None:
+        """A file that appears whole; fails if it is there already."""
+        if self.fs.exists(self._path(name)):
+            raise FileExistsError(name)
+        folder, _, last = name.rpartition("/")
+        temporary = self._path(f"{folder}/.{last}.{uuid.uuid4().hex}")
+        stream = self.fs.create(temporary, False)
+        try:
+            stream.write(bytearray(content))
+        finally:
+            stream.close()
+        if not self.fs.rename(temporary, self._path(name)):
+            self.fs.delete(temporary, False)
+            raise FileExistsError(name)
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+
+def files_of(spark: SparkSession, root: str) -> Files:
+    return Files(spark, root)
+
+
+def maintained(source: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """``build(source)`` as a table kept in the shared folder, made when it is first read; None if ``source`` is anything but a plain read of files.
+
+    The table belongs to the files it was made from, by name, length and time of change: when these change, another is made. It is written aside and renamed
+    when whole, so sessions that build it at once leave one of them.
+    """
+    spark = source.sparkSession
+    if source._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return None
+    inputs = sorted(source.inputFiles())
+    if not inputs:
+        return None
+    state = hashlib.sha256()
+    for f in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        state.update(f"{f} {status.getLen()} {status.getModificationTime()}\n".encode())
+    folder = f"{shared_dir(spark).rstrip('/')}/lexmill/maintained"
+    whole = f"{folder}/{name}-{state.hexdigest()[:32]}"
+    files = files_of(spark, folder)
+    if not files.fs.exists(files._path(f"{whole}/_SUCCESS")):
+        aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        build(source).write.option("compression", "zstd").parquet(aside)
+        if not files.fs.rename(files._path(aside), files._path(whole)):
+            files.remove(aside)
+    return spark.read.parquet(whole)
