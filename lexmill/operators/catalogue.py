@@ -165,8 +165,11 @@ def history_pairs(chains: DataFrame) -> DataFrame:
     return out.select("provision_id", "version_no", "version_id", "before_id", "gap_days", "source_kind")
 
 
-_DELETED = r"(?i)[\[(]?\s*(deleted|omitted|blank|repealed|reserved|\*\s*\*\s*\*)\s*[\])]?\.?$"
-_FOOTNOTE = r"(?i)^(\d{1,3}[a-z]?\.?\s*)?(ins\.|inserted by|subs\.|substituted by|omitted by|vide|prior to its)"
+#: Texts that stand for a provision that is gone, and how amendment notes begin.
+GONE = ("deleted", "omitted", "blank", "repealed", "reserved")
+NOTES = ("Ins.", "Inserted by", "Subs.", "Substituted by", "Omitted by", "Vide", "Prior to its")
+_DELETED = rf"(?i)\[?\s*(?:{'|'.join(GONE)}|\*{{3,}})\s*\]?\s*$"
+_FOOTNOTE = r"(?i)^\s*(?:\d+[a-z]?\.?\s*)?(?:" + "|".join(n.replace(".", r"\.") for n in NOTES) + r")(?:[^a-z]|$)"
 
 
 def quality_flags(current: DataFrame) -> DataFrame:
@@ -207,10 +210,10 @@ def around(provision: DataFrame, number: str, window: int = 60) -> DataFrame:
 
 
 def numbered_again(provision: DataFrame) -> DataFrame:
-    """Labels that stay unique: the second use of a number in an instrument becomes 'n (2)'."""
+    """Labels that stay unique: the second use of a whole number in an instrument becomes 'n (2)'; what has no number has no label."""
     w = Window.partitionBy("instrument_id", "number").orderBy(F.col("sort_key").asc_nulls_last(), "id")
     label = F.when(F.col("_n") > 1, F.concat("number", F.lit(" ("), F.col("_n"), F.lit(")"))).otherwise(F.col("number"))
-    p = unique_provisions(provision).withColumn("number", F.regexp_extract("number", r"^\s*(\d+)", 1)).withColumn("_n", F.row_number().over(w))
+    p = unique_provisions(provision).withColumn("_n", F.row_number().over(w))
     return p.select("id", "instrument_id", label.alias("label"))
 
 
@@ -233,12 +236,13 @@ def sitemap(provision: DataFrame, instrument: DataFrame, chains: DataFrame) -> D
 
 
 def linked_documents(document: DataFrame, provision_version: DataFrame, provision: DataFrame) -> DataFrame:
-    """Documents linked to a provision by having made a version of it or by naming its number in their title: a union of two equi joins, not an OR."""
+    """Documents linked to a provision by having made a version of it, or by naming its number in their title where they are about its instrument: a union of two equi joins, not an OR."""
+    p = unique_provisions(provision).select(F.col("id").alias("provision_id"), "instrument_id", number_key("number").alias("n"))
     made = provision_version.where("created_by_document_id IS NOT NULL").select(F.col("created_by_document_id").alias("id"), "provision_id").distinct()
-    first = document.select("id", "date_issued").join(made, "id").select("id", "provision_id", F.lit("made").alias("link"))
+    first = document.select("id").join(made, "id").select("id", "provision_id", F.lit("made").alias("link"))
+    about = made.join(p.select("provision_id", "instrument_id"), "provision_id").select("id", "instrument_id").distinct()
     cited = document.select("id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(?i)\b(?:section|rule|regulation|paragraph)\s+(\d+[A-Za-z]?)"), 1))).alias("n"))
-    p = unique_provisions(provision).select(F.col("id").alias("provision_id"), number_key("number").alias("n"))
-    second = cited.withColumn("n", F.upper("n")).join(p, "n").select("id", "provision_id", F.lit("named").alias("link"))
+    second = cited.withColumn("n", F.upper("n")).join(about, "id").join(p, ["instrument_id", "n"]).select("id", "provision_id", F.lit("named").alias("link"))
     return first.unionByName(second).groupBy("id", "provision_id").agg(F.min("link").alias("link"))
 
 

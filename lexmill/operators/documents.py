@@ -24,17 +24,17 @@ def _each(rows: DataFrame, f: Callable, kind: pa.DataType, ddl: str) -> DataFram
     return spread(rows).mapInArrow(partial(_apply, f=f, kind=kind), f"id bigint, x {ddl}")
 
 
-def _split(text: str | None) -> list[dict]:
-    return T.split_provisions(text) if text else []
+def _split(style: str | None, text: str | None) -> list[dict]:
+    return T.split_provisions(text, style or "auto") if text else []
 
 
-_PROVISION = pa.list_(pa.struct([(n, pa.string()) for n in ("number", "heading", "text", "level", "parent_number", "chapter")]))
+_PROVISION = pa.list_(pa.struct([*((n, pa.string()) for n in ("number", "heading", "text", "level", "parent_number", "chapter")), ("footnotes", pa.list_(pa.string()))]))
 
 
 def provisions(rows: DataFrame) -> DataFrame:
-    """(id, place, number, heading, text, level, parent_number, chapter) of rows (id, text)."""
+    """(id, place, number, heading, text, level, parent_number, chapter, footnotes) of rows (id, style, text); a null style is auto."""
     names = ("number", "heading", "text", "level", "parent_number", "chapter")
-    out = _each(rows, _split, _PROVISION, "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>")
+    out = _each(rows.select("id", "style", "text"), _split, _PROVISION, "array<struct<" + ",".join(f"{n}:string" for n in names) + ",footnotes:array<string>>>")
     return out.select("id", F.posexplode("x").alias("place", "p")).select("id", "place", "p.*")
 
 

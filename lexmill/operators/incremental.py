@@ -38,16 +38,23 @@ def digest(rows: DataFrame, group: str, order: list[Column], budget: int = 50) -
     return placed.withColumn("left_out", F.col("n_group") - shown).drop("_in", "_before")
 
 
-def collapse(runs: DataFrame, source: str, day: str, found: str, share: float = 0.4, samples: int = 4, least: int = 10, days: int = 30) -> DataFrame:
-    """Runs that found far less than their source usually does: under ``share`` of the median of the runs before, twice in a row.
+#: Fixed values of the collapse rule: share of the median, earlier runs needed, least median, days looked back.
+COLLAPSE_SHARE, COLLAPSE_SAMPLES, COLLAPSE_MEDIAN, COLLAPSE_DAYS = 0.4, 4, 10, 30
 
-    No alarm in the first ``days`` days of a year, with fewer than ``samples`` earlier runs, or with a median under ``least``.
+
+def collapse(runs: DataFrame, source: str, day: str, found: str, ok: str | None = None, least: int = COLLAPSE_MEDIAN, days: int = COLLAPSE_DAYS) -> DataFrame:
+    """Runs that found far less than their source usually does: under a share of the median of the days before, as did the last successful run.
+
+    Only successful runs with a count are measured by (all, where ``ok`` names no column). No alarm without a run before, in the first ``days`` days of a year, with
+    too few earlier runs, or with a median under ``least``. A run counts for later ones as it was recorded; alarms do not feed back.
     """
-    w = Window.partitionBy(source).orderBy(day)
-    past = w.rowsBetween(-days, -1)
-    rows = runs.withColumn("median", F.percentile(found, F.lit(0.5)).over(past)).withColumn("samples", F.count(found).over(past)).withColumn("previous", F.lag(found).over(w))
-    floor = F.col("median") * share
-    down = (F.dayofyear(day) > days) & (F.col("samples") >= samples) & (F.col("median") >= least) & (F.col(found) < floor) & (F.col("previous").isNull() | (F.col("previous") < floor))
+    good = F.when(F.col(ok), F.col(found)) if ok else F.col(found)
+    number = F.unix_date(day)
+    past = Window.partitionBy(source).orderBy(number).rangeBetween(-days, -1)
+    before = Window.partitionBy(source).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("median", F.percentile(good, F.lit(0.5)).over(past)).withColumn("samples", F.count(good).over(past)).withColumn("previous", F.last(good, ignorenulls=True).over(before))
+    floor = F.col("median") * COLLAPSE_SHARE
+    down = (F.dayofyear(day) > days) & (F.col("samples") >= COLLAPSE_SAMPLES) & (F.col("median") >= least) & (F.col(found) < floor) & (F.col("previous") < floor)
     return rows.withColumn("collapsed", F.coalesce(down, F.lit(False)))
 
 
@@ -78,22 +85,29 @@ def upsert(held: DataFrame, incoming: DataFrame, key: list[str], keep_old: list[
     return both.select(*columns)
 
 
-def refresh_actions(held: DataFrame, incoming: DataFrame, updated_on: str, similarity: Column | None = None) -> DataFrame:
-    """What an official text does to the version held: insert, unchanged, refresh (same day, official) or new_version.
+#: Fixed value: from this similarity on, a machine's text agrees with the official one.
+AGREES = 0.97
+
+
+def refresh_actions(held: DataFrame, incoming: DataFrame, updated_on: str, similarity: str | None = None) -> DataFrame:
+    """What an official text does to the version held: insert, unchanged, refresh (same day, official) or new_version; and what it says of a machine's text.
 
-    held: (provision_id, level_text, valid_from, source_kind); incoming: (provision_id, new_text). Texts are compared without case, quotes
-    and white space runs.
+    held: (provision_id, held_text, valid_from, source_kind); incoming: (provision_id, new_text[, similarity of both texts]). Texts are compared without case, quotes
+    and white space runs. verdict is matches_official or differs_from_official where the held version is a machine's, else null.
     """
     norm = lambda c: F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "[“”‘’\"']", ""), r"\s+", " ")))
     day = F.lit(updated_on).cast("date")
     rows = incoming.join(held, "provision_id", "left")
+    same = norm("held_text") == norm("new_text")
     action = (
         F.when(F.col("source_kind").isNull() & F.col("held_text").isNull(), "insert")
-        .when(norm("held_text") == norm("new_text"), "unchanged")
+        .when(same, "unchanged")
         .when((F.col("source_kind") == "official") & (F.col("valid_from") == day), "refresh")
         .otherwise("new_version")
     )
-    return rows.select("provision_id", action.alias("action"))
+    near = same if similarity is None else same | (F.col(similarity) >= AGREES)
+    verdict = F.when(F.col("source_kind") == "machine_merged", F.when(near, "matches_official").otherwise("differs_from_official"))
+    return rows.select("provision_id", action.alias("action"), verdict.alias("verdict"))
 
 
 def job_states(events: DataFrame, most: int = 3, stale_minutes: int = 30) -> DataFrame:
@@ -111,6 +125,15 @@ def job_states(events: DataFrame, most: int = 3, stale_minutes: int = 30) -> Dat
     return rows.select("job_id", state.alias("state"), "attempts", "failures")
 
 
+#: Fixed value: requests a minute.
+LIMIT = 20
+
+
+def over_limit(events: DataFrame, key: str, at: str, limit: int = LIMIT, span: str = "60 seconds") -> DataFrame:
+    """(key, w, n): the spans in which a key has more events than the limit."""
+    return events.groupBy(key, F.window(at, span).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+
+
 _CITING = r"(^|[^0-9a-z])(?:section|sections|sec|rule|rules|regulation|regulations)\s*\.?\s*"
 
 

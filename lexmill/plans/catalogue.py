@@ -175,9 +175,9 @@ def quality_by_flag(spark, d):
 
 
 def last_revised(spark, d):
-    p, pv = _t(spark, d, "provision", "provision_version")
-    rows = C.versions(pv).join(C.unique_provisions(p).select(F.col("id").alias("provision_id"), "instrument_id"), "provision_id")
-    return rows.groupBy("instrument_id").agg(F.coalesce(F.date_format(F.max("valid_from"), "yyyy-MM-dd"), F.lit("")).alias("last_revised"))
+    """When the listings were last read and when the newest document came, over the whole site."""
+    (doc,) = _t(spark, d, "document")
+    return doc.agg(F.unix_micros(F.max("last_seen_at")).alias("checked_us"), F.unix_micros(F.max("first_seen_at")).alias("added_us"))
 
 
 def carry_forward(spark, d):
@@ -282,7 +282,12 @@ def feed_entries(spark, d):
     """The 60 newest documents as feed entries with stable ids."""
     doc, pv, p, i = _t(spark, d, "document", "provision_version", "provision", "instrument")
     rows = C.page(doc, 1, 60).join(C.affected(doc, pv, p, i), F.col("id") == F.col("document_id"), "left")
-    entry = F.concat(F.lit("<entry><id>tag:document:"), F.col("id").cast("string"), F.lit("</id><updated>"), _day("date_issued"), F.lit("</updated><summary>"), F.coalesce("affects", F.lit("")), F.lit("</summary></entry>"))
+    xml = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    href = F.replace(xml(F.coalesce("reader_url", "source_url")), F.lit('"'), F.lit("&quot;"))
+    entry = F.concat(
+        F.lit("<entry><id>tag:document:"), F.col("id").cast("string"), F.lit("</id><title>"), xml(F.col("title")), F.lit("</title><author><name>"), xml(F.col("regulator_code")), F.lit('</name></author><link href="'), href,
+        F.lit('"/><updated>'), _day("date_issued"), F.lit("</updated><summary>"), xml(F.col("affects")), F.lit("</summary></entry>"),
+    )
     return rows.select("id", entry.alias("entry"))
 
 
@@ -315,10 +320,10 @@ _date = _D.format
 _NOCH = "(level IS NULL OR lower(level) <> 'chapter')"
 _CURRENT = f"WITH {HISTORY}, cur AS (SELECT now.provision_id, now.version_id, body.text, p.instrument_id, p.level, p.number FROM now JOIN body USING (version_id) JOIN p ON p.id = now.provision_id)"
 _FLAGS = _CURRENT + r""", t AS (SELECT *, trim(text) AS t FROM cur WHERE text IS NOT NULL AND (level IS NULL OR lower(level) <> 'chapter')),
-k AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, md5(text)) AS c FROM t WHERE NOT regexp_matches(t, '(?i)[\[(]?\s*(deleted|omitted|blank|repealed|reserved|\*\s*\*\s*\*)\s*[\])]?\.?$')),
+k AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, md5(text)) AS c FROM t WHERE NOT regexp_matches(t, '(?i)\[?\s*(deleted|omitted|blank|repealed|reserved|\*{3,})\s*\]?\s*$')),
 flags AS (SELECT provision_id, instrument_id, 'table_row' AS flag FROM k WHERE contains(t, '|') AND length(t) < 200
 UNION ALL SELECT provision_id, instrument_id, 'heading_only' FROM k WHERE length(t) < 90 AND NOT contains(t, '|') AND NOT regexp_matches(t, '[,;:]')
-UNION ALL SELECT provision_id, instrument_id, 'footnote' FROM k WHERE regexp_matches(t, '(?i)^(\d{1,3}[a-z]?\.?\s*)?(ins\.|inserted by|subs\.|substituted by|omitted by|vide|prior to its)')
+UNION ALL SELECT provision_id, instrument_id, 'footnote' FROM k WHERE regexp_matches(t, '(?i)^\s*(\d+[A-Za-z]?\.?\s*)?(Ins\.|Inserted by|Subs\.|Substituted by|Omitted by|Vide|Prior to its)([^a-z]|$)')
 UNION ALL SELECT provision_id, instrument_id, 'duplicate_text' FROM k WHERE c > 1)"""
 
 SQL = {
@@ -352,8 +357,9 @@ SQL = {
     "instrument_chapters": "SELECT DISTINCT instrument_id, id, number, heading FROM provision WHERE lower(level) = 'chapter'",
     "instrument_opening_provisions": f"SELECT instrument_id, rn::INT AS rn, id, number FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY sort_key NULLS LAST, id) AS rn FROM (SELECT DISTINCT * FROM provision) WHERE {_NOCH}) WHERE rn <= 12",
     "instrument_index": f"""WITH {HISTORY} SELECT i.id AS instrument_id, i.title, count(p.id) AS provisions, count(version_id) AS with_text FROM instrument i LEFT JOIN p ON p.instrument_id = i.id LEFT JOIN now ON now.provision_id = p.id GROUP BY 1, 2""",
-    "provision_documents": f"""WITH u AS (SELECT d.id, v.provision_id, 'made' AS link FROM document d JOIN provision_version v ON v.created_by_document_id = d.id
-      UNION ALL SELECT c.id, p.id, 'named' FROM (SELECT id, upper(unnest(regexp_extract_all(title, '(?i)\\b(?:section|rule|regulation|paragraph)\\s+(\\d+[A-Za-z]?)', 1))) AS n FROM document) c JOIN provision p ON {_KEY} = c.n)
+    "provision_documents": f"""WITH p AS (SELECT DISTINCT * FROM provision), u AS (SELECT d.id, v.provision_id, 'made' AS link FROM document d JOIN provision_version v ON v.created_by_document_id = d.id
+      UNION ALL SELECT c.id, p.id, 'named' FROM (SELECT id, upper(unnest(regexp_extract_all(title, '(?i)\\b(?:section|rule|regulation|paragraph)\\s+(\\d+[A-Za-z]?)', 1))) AS n FROM document) c JOIN p ON {_KEY} = c.n
+        WHERE EXISTS (SELECT 1 FROM provision_version v JOIN p q ON q.id = v.provision_id WHERE v.created_by_document_id = c.id AND q.instrument_id = p.instrument_id))
       SELECT id, provision_id, min(link) AS link FROM u WHERE provision_id IS NOT NULL GROUP BY 1, 2""",
     "provision_history": f"""WITH {HISTORY}, {_BEST}, made AS (SELECT DISTINCT id AS version_id, created_by_document_id AS document_id FROM provision_version)
       SELECT provision_id, version_id, {_date('valid_from')} AS valid_from, {_date('valid_to')} AS valid_to, made.document_id, d.number, attachment_id FROM hist JOIN made USING (version_id) LEFT JOIN document d ON d.id = made.document_id LEFT JOIN best ON best.document_id = made.document_id""",
@@ -370,12 +376,12 @@ SQL = {
       (SELECT count(DISTINCT id) FROM provision) AS provisions, (SELECT count(DISTINCT id) FROM provision_version) AS states, (SELECT count(*) FROM instrument) AS instruments, (SELECT count(*) FROM instrument WHERE pdf_only) AS pdf_only, (SELECT count(*) FROM regulator) AS regulators""",
     "quality_flags": _FLAGS + " SELECT * FROM flags",
     "quality_by_flag": _FLAGS + " SELECT flag, instrument_id, count(*) AS n FROM flags GROUP BY 1, 2",
-    "last_revised": f"WITH {HISTORY} SELECT instrument_id, {_date('max(valid_from)')} AS last_revised FROM hist JOIN p ON p.id = provision_id GROUP BY 1",
+    "last_revised": "SELECT epoch_us(max(last_seen_at)) AS checked_us, epoch_us(max(first_seen_at)) AS added_us FROM document",
     "carry_forward": """SELECT id, instrument_id, number, last_value(CASE WHEN lower(level) = 'chapter' THEN number END IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY sort_key NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM (SELECT DISTINCT * FROM provision)""",
     "neighbours": f"""SELECT id, instrument_id, lag(id) OVER w AS before_id, lead(id) OVER w AS after_id, (row_number() OVER w)::INT AS place FROM (SELECT DISTINCT * FROM provision) WHERE {_NOCH} WINDOW w AS (PARTITION BY instrument_id ORDER BY sort_key NULLS LAST, id)""",
     "reading_window": f"""WITH n AS (SELECT id, instrument_id, number, row_number() OVER (PARTITION BY instrument_id ORDER BY sort_key NULLS LAST, id) AS place FROM (SELECT DISTINCT * FROM provision) WHERE {_NOCH}),
       a AS (SELECT instrument_id, min(place) AS mid FROM n WHERE {_KEY} = '1.9' GROUP BY 1) SELECT n.instrument_id, id, place::INT AS place FROM n JOIN a USING (instrument_id) WHERE place >= mid - 20 AND place < mid + 40""",
-    "numbered_again": r"""WITH q AS (SELECT id, instrument_id, sort_key, regexp_extract(number, '^\s*(\d+)', 1) AS number FROM (SELECT DISTINCT * FROM provision)), c AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, number ORDER BY sort_key NULLS LAST, id) AS n FROM q)
+    "numbered_again": r"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, number ORDER BY sort_key NULLS LAST, id) AS n FROM (SELECT DISTINCT * FROM provision))
       SELECT id, instrument_id, CASE WHEN n > 1 THEN number || ' (' || n || ')' ELSE number END AS label FROM c""",
     "natural_number_order": r"""SELECT id, instrument_id, (row_number() OVER (PARTITION BY instrument_id ORDER BY TRY_CAST(nullif(regexp_extract(number, '^\s*(\d{1,9})', 1), '') AS INT) NULLS LAST, upper(regexp_extract(number, '^\s*\d{1,9}\s*([A-Za-z]*)', 1)), id))::INT AS place FROM (SELECT DISTINCT * FROM provision)""",
     "sitemap": f"""WITH {HISTORY}, u AS (SELECT '/browse/' || slug || '/' || url_encode(number) AS path, greatest(valid_from, official_updated_as_on) AS d FROM now JOIN body USING (version_id) JOIN p ON p.id = provision_id JOIN instrument i ON i.id = instrument_id WHERE length(text) > 200
@@ -396,7 +402,8 @@ SQL = {
     "stale_first": f"SELECT id, slug, {_date('official_updated_as_on')} AS checked FROM instrument WHERE official_updated_as_on IS NULL OR official_updated_as_on < DATE '{TODAY}' - 7 ORDER BY official_updated_as_on NULLS FIRST, id LIMIT 25",
     "documents_export": f"""WITH {_BEST} SELECT id, regulator_code, doc_type, number, title, {_date('date_issued')} AS date_issued, {_date('date_effective')} AS date_effective, coalesce(reader_url, source_url, '') AS official_page, filename FROM
       (SELECT * FROM document ORDER BY document.date_issued DESC NULLS LAST, id DESC LIMIT 1000) LEFT JOIN best ON document_id = id""",
-    "feed_entries": f"""WITH {_AFFECTED} SELECT id, '<entry><id>tag:document:' || id || '</id><updated>' || {_date('date_issued')} || '</updated><summary>' || coalesce(affects, '') || '</summary></entry>' AS entry FROM
+    "feed_entries": f"""WITH {_AFFECTED} SELECT id, '<entry><id>tag:document:' || id || '</id><title>' || replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</title><author><name>' || replace(replace(replace(coalesce(regulator_code, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</name></author><link href="' ||
+      replace(replace(replace(replace(coalesce(coalesce(reader_url, source_url), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"/><updated>' || {_date('date_issued')} || '</updated><summary>' || replace(replace(replace(coalesce(affects, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</summary></entry>' AS entry FROM
       (SELECT * FROM document ORDER BY date_issued DESC NULLS LAST, id DESC LIMIT 60) LEFT JOIN affected ON document_id = id""",
     "source_links": r"""WITH j AS (SELECT d.id, reader_url, website, CASE WHEN NOT coalesce(regexp_matches(source_url, '(?i)\.(json|xml|pdf)(\?|$)|/api/'), false) THEN source_url END AS direct FROM document d LEFT JOIN regulator r ON r.code = d.regulator_code)
       SELECT id, coalesce(reader_url, direct, website, '') AS href, CASE WHEN reader_url IS NOT NULL THEN 'reader' WHEN direct IS NOT NULL THEN 'source' WHEN website IS NOT NULL THEN 'listing' ELSE 'none' END AS label FROM j""",

@@ -41,7 +41,10 @@ def headline(spark, d):
 
 
 def provisions(spark, d):
-    return D.provisions(_texts(spark, d)).select("id", "place", "number", "level", "parent_number", "chapter", F.length("text").alias("n_chars"))
+    rows = table(spark, d, "document").where("extracted_text IS NOT NULL")
+    style = F.when(F.col("doc_type") == "master_direction", "master_direction").when(F.col("regulator_code") == "SEBI", "sebi").otherwise("auto")
+    out = D.provisions(rows.select("id", style.alias("style"), F.col("extracted_text").alias("text")))
+    return out.select("id", "place", "number", "level", "parent_number", "chapter", F.length("text").alias("n_chars"), F.size("footnotes").alias("n_footnotes"))
 
 
 def rule_tags(spark, d):

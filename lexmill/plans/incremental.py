@@ -78,9 +78,8 @@ def json_payload(spark, d):
 
 
 def rate_limit(spark, d):
-    """Users with more than 3 events in one minute."""
-    w = F.window("ts", "60 seconds")
-    out = table(spark, d, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).where("n > 1")
+    """Users with more than LIMIT events in one minute; the events of these tables are few, so the limit here is 1."""
+    out = I.over_limit(table(spark, d, "events"), "user_id", "ts", limit=1)
     return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("minute"), "n")
 
 
@@ -102,12 +101,12 @@ def forget_old(spark, d):
 
 
 def refresh_actions(spark, d):
-    """The states of 2020 as held, the newest collected states as incoming."""
+    """The states of 2010 as held, the current ones as incoming."""
     pv = table(spark, d, "provision_version")
     chains = C.versions(pv, True)
     held = C.as_on(chains, "2010-01-01").select("provision_id", F.col("text").alias("held_text"), "valid_from", "source_kind")
     incoming = C.as_on(chains, None).select("provision_id", F.col("text").alias("new_text"))
-    return I.refresh_actions(held, incoming, "2010-01-01").groupBy("action").agg(F.count("*").alias("n"))
+    return I.refresh_actions(held, incoming, "2010-01-01").groupBy("action", "verdict").agg(F.count("*").alias("n"))
 
 
 def upsert_titles(spark, d):
@@ -190,9 +189,9 @@ SQL = {
     "digest_grouping": f"""WITH r AS (SELECT id, regulator_code, count(*) OVER (PARTITION BY regulator_code) AS n_group FROM document WHERE {_W} AND regulator_code IS NOT NULL),
       q AS (SELECT *, row_number() OVER (ORDER BY n_group DESC, regulator_code, id DESC) AS place FROM r) SELECT id, regulator_code, place::BIGINT AS place, n_group, n_group - count(*) OVER (PARTITION BY regulator_code) AS left_out FROM q WHERE place <= 50""",
     "listing_median": "SELECT event_type, quantile_cont(n, 0.5)::DOUBLE AS median, count(*) AS samples, max(n) AS peak FROM (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1",
-    "collapse_reason": """WITH r AS (SELECT user_id AS source, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, quantile_cont(n, 0.5) OVER (PARTITION BY source ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)::DOUBLE AS median,
-        count(n) OVER (PARTITION BY source ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS samples, lag(n) OVER (PARTITION BY source ORDER BY day) AS previous FROM r)
-      SELECT source, strftime(day, '%Y-%m-%d') AS day, n, median, samples, previous, coalesce(dayofyear(day) > 5 AND samples >= 4 AND median >= 1 AND n < median * 0.4 AND (previous IS NULL OR previous < median * 0.4), false) AS collapsed FROM w""",
+    "collapse_reason": """WITH r AS (SELECT user_id AS source, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, quantile_cont(n, 0.5) OVER (PARTITION BY source ORDER BY day RANGE BETWEEN INTERVAL 5 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)::DOUBLE AS median,
+        count(n) OVER (PARTITION BY source ORDER BY day RANGE BETWEEN INTERVAL 5 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS samples, lag(n) OVER (PARTITION BY source ORDER BY day) AS previous FROM r)
+      SELECT source, strftime(day, '%Y-%m-%d') AS day, n, median, samples, previous, coalesce(dayofyear(day) > 5 AND samples >= 4 AND median >= 1 AND n < median * 0.4 AND previous < median * 0.4, false) AS collapsed FROM w""",
     "empty_discovery": """WITH r AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (WHERE event_type = 'purchase') AS n FROM events GROUP BY 1, 2),
       w AS (SELECT *, max(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING) AS peak FROM r) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, peak FROM w WHERE n = 0 AND peak > 0""",
     "search_volume": "SELECT strftime(ts + INTERVAL '5 hours 30 minutes', '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE value > 50) AS found, count(*) FILTER (WHERE value IS NULL OR value <= 50) AS missed FROM events GROUP BY 1",
@@ -206,8 +205,8 @@ SQL = {
     "forget_old": "SELECT event_type, count(*) AS rows, count(CASE WHEN ts >= TIMESTAMP '2024-06-01' THEN props END) AS kept_text FROM events GROUP BY 1",
     "refresh_actions": f"""WITH {HISTORY}, tx AS (SELECT hist.*, text FROM hist JOIN body USING (version_id)), norm AS (SELECT *, lower(trim(regexp_replace(regexp_replace(text, '[“”‘’"'']', '', 'g'), '\\s+', ' ', 'g'))) AS nt FROM tx),
       held AS (SELECT * FROM norm WHERE (valid_from IS NULL OR valid_from <= DATE '2010-01-01') AND (valid_to IS NULL OR valid_to > DATE '2010-01-01'))
-      SELECT CASE WHEN h.source_kind IS NULL AND h.text IS NULL THEN 'insert' WHEN h.nt = n.nt THEN 'unchanged' WHEN h.source_kind = 'official' AND h.valid_from = DATE '2010-01-01' THEN 'refresh' ELSE 'new_version' END AS action, count(*) AS n
-      FROM (SELECT * FROM norm WHERE valid_to IS NULL) n LEFT JOIN held h USING (provision_id) GROUP BY 1""",
+      SELECT CASE WHEN h.source_kind IS NULL AND h.text IS NULL THEN 'insert' WHEN h.nt = n.nt THEN 'unchanged' WHEN h.source_kind = 'official' AND h.valid_from = DATE '2010-01-01' THEN 'refresh' ELSE 'new_version' END AS action, CASE WHEN h.source_kind = 'machine_merged' THEN CASE WHEN h.nt = n.nt THEN 'matches_official' ELSE 'differs_from_official' END END AS verdict, count(*) AS n
+      FROM (SELECT * FROM norm WHERE valid_to IS NULL) n LEFT JOIN held h USING (provision_id) GROUP BY 1, 2""",
     "upsert_titles": "SELECT n.regulator_code, n.title, coalesce(n.number, h.number) AS number FROM (SELECT * FROM document WHERE id IN (SELECT max(id) FROM document GROUP BY regulator_code)) n JOIN (SELECT * FROM document WHERE id IN (SELECT min(id) FROM document GROUP BY regulator_code)) h ON h.regulator_code = n.regulator_code",
     "job_states": f"""WITH e AS (SELECT user_id % 500 AS job_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'start' WHEN 'view' THEN 'fail' ELSE 'queue' END AS event, ts FROM events),
       j AS (SELECT job_id, last(event ORDER BY ts, event) AS last, max(ts) AS last_ts, count(*) FILTER (WHERE event = 'start') AS attempts, count(*) FILTER (WHERE event = 'fail') AS failures, (SELECT max(ts) FROM e) AS ending FROM e GROUP BY 1)

@@ -22,6 +22,39 @@ def test_collapse_boundary(spark):
     assert out == [False] * 7 + [True, False]
 
 
+def test_collapse_cases(spark):
+    """Cases: no run before, failed runs, a null before, a single dip, too few runs, a small median, the new year."""
+    day = lambda n: (datetime(2024, 1, 1) + timedelta(days=n)).date()
+    last = {
+        "dip": ([100] * 5 + [5], False), "cliff": ([1283] * 5 + [5, 5], True), "null": ([100] * 5 + [None, 5], False), "null_after": ([100] * 5 + [5, None, 5], True),
+        "floor": ([100] * 5 + [40, 40], False), "few": ([100, 100, 1, 1], False), "small": ([9] * 5 + [1, 1], False), "alone": ([1], False),
+    }
+    rows = [(s, day(199 + i), n, True) for s, (found, _) in last.items() for i, n in enumerate(found)]
+    rows += [("failed", day(199 + i), n, ok) for i, (n, ok) in enumerate([(100, True)] * 5 + [(5, False), (5, True)])]
+    rows += [("january", day(20 + i), n, True) for i, n in enumerate([100] * 5 + [1] * 6)]
+    df = spark.createDataFrame(rows, "s string, day date, n bigint, ok boolean")
+    got = {}
+    for r in I.collapse(df, "s", "day", "n", "ok").orderBy("s", "day").collect():
+        got.setdefault(r["s"], []).append(r["collapsed"])
+    assert {s: x[-1] for s, x in got.items()} == {s: want for s, (_, want) in last.items()} | {"failed": False, "january": True}
+    assert got["january"] == [False] * 10 + [True]  # the 31st of January is the first day that counts
+
+
+def test_stale_jobs_are_rescued_in_the_stream(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    parts = [[(1, "start", at(0)), (2, "start", at(1)), (2, "done", at(5))], [(3, "start", at(40))], [(4, "queue", at(41))]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "job_id bigint, event string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("job_id bigint, event string, ts timestamp").parquet(str(tmp_path / "in"))
+        out = news.job_states(stream).writeStream.foreachBatch(lambda b, n, i=i: b.write.mode("overwrite").parquet(str(tmp_path / f"out-{i}-{n}")))
+        out.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    states = {}
+    for p in sorted(tmp_path.glob("out-*"), key=lambda p: [int(x) for x in p.name.split("-")[1:]]):
+        states |= {r["job_id"]: r["state"] for r in spark.read.parquet(str(p)).collect()}
+    whole = spark.createDataFrame([r for p in parts for r in p], "job_id bigint, event string, ts timestamp")
+    assert states == {r["job_id"]: r["state"] for r in I.job_states(whole).collect()} == {1: "rescued", 2: "done", 3: "running", 4: "queued"}
+
+
 def test_jobs_batch_and_stream_agree(spark, tmp_path):
     log = [(1, "start", 1), (1, "fail", 2), (1, "start", 3), (1, "done", 4), (2, "start", 1), (2, "fail", 2), (2, "start", 3), (2, "fail", 4), (2, "start", 5), (2, "fail", 6), (3, "queue", 6)]
     df = spark.createDataFrame([(j, e, datetime(2024, 1, 1, 0, m)) for j, e, m in log], "job_id bigint, event string, ts timestamp")
