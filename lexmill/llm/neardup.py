@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise, spread
+from lexmill.session import materialise, materialise_counted, spread
 
 SEGMENTS, WIDTH, HOT, CHUNK = 12, 5, 64, 1024
 SYMBOLS = SEGMENTS * WIDTH
@@ -220,3 +220,33 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     within = m("x", "rep").join(m("y", "rep"), "rep").where("x < y").select("x", "y")
     across = pairs.join(m("x", "a"), "a").join(m("y", "b"), "b").select("x", "y")
     return within.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(rep, group): the least record of all that are connected by rows (a, b), for every record in them.
+
+    Each round every record takes the least label of its neighbours and then the label of that label, so chains shorten by more than half; what is
+    known is written to the shared folder and nothing is collected.
+    """
+    edges = materialise(pairs.select("a", "b").union(pairs.select("b", "a")))
+    labels = edges.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("group"))
+    for _ in range(max_rounds):
+        labels = materialise(labels)
+        near = edges.join(labels.select(F.col("rep").alias("b"), "group"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("group").alias("near"))
+        step = labels.join(near, "rep").select("rep", F.col("group").alias("before"), F.least("group", "near").alias("group"))
+        step = step.join(labels.select(F.col("rep").alias("group"), F.col("group").alias("further")), "group").select("rep", "before", F.least("group", "further").alias("group"))
+        step, n = materialise_counted(step, changed=F.count_if(F.col("group") < F.col("before")))
+        labels = step.select("rep", "group")
+        if not n["changed"]:
+            return labels
+    raise RuntimeError("longer chains than rounds")
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, n_links) of every record: its class of equal sets, the group that links connect, and with how many records it is a pair."""
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    both = materialise(pairs.union(pairs.select("b", "a")).toDF("rep", "other"))
+    links = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("linked"))
+    classes = sizes.join(links, "rep", "left").join(components(pairs), "rep", "left")
+    classes = classes.select("rep", F.coalesce("group", "rep").alias("group_id"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
+    return members.join(classes, "rep").select("id", F.col("rep").alias("class_id"), "group_id", "n_links")

@@ -5,7 +5,8 @@ on histograms alone; the items follow it by their rank:
 
 1. items over the capacity are split into full parts and a rest; a full part is a container of its own;
 2. large items are put into groups of equal cardinality by size, and every size is rounded up to the largest of its group;
-3. with few sizes left, configurations that fill a container best are found by dynamic programming and used as often as the counts allow;
+3. with few sizes left, the configuration that fills a container of the largest size best is found by dynamic programming and used as often as the counts allow,
+   again and again: a greedy choice of configurations, not the best set of them; many groups keep the loss by rounding small;
 4. actual items take the places of their group, which leaves rounding room; the containers' room is counted exactly;
 5. small items are placed best fit, largest first, into what room is left, again on histograms: of rooms and of small sizes.
 
@@ -31,6 +32,8 @@ SMALL = 8
 GROUPS = 512
 #: Rows that one salt of a size should hold.
 SALTED = 200_000
+#: Rows of a plan that are broadcast, some MB; plans have a few rows for each size and room, whatever the items.
+PLANNED = 200_000
 
 
 def group_sizes(counts: dict[int, int], groups: int) -> dict[int, int]:
@@ -130,6 +133,11 @@ def _ranked(rows: DataFrame, key: str, order: list[str], total: int) -> DataFram
     return rows.withColumn("_within", within).join(counts, [key, "_salt"]).withColumn("rank", (F.col("_within") + F.col("_before")).cast("long")).drop("_salt", "_before", "_within")
 
 
+def _bounded(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` to be broadcast if they are as few as the plan's bounds say, else to be joined as they are."""
+    return F.broadcast(rows) if n <= PLANNED else rows
+
+
 def _histogram(rows: DataFrame, key: str) -> dict[int, int]:
     """At most capacity + 1 rows reach the driver."""
     return {r[key]: r["n"] for r in rows.groupBy(key).agg(F.count("*").alias("n")).collect()}
@@ -158,17 +166,31 @@ def pack(items: DataFrame, capacity: int, groups: int = GROUPS) -> DataFrame:
     sizes = local_table(spark, sorted(rounded.items()), size=pa.int32(), grp=pa.int32())
     plan = local_table(spark, places, grp=pa.int32(), _from=pa.int64(), _number=pa.int64(), _start=pa.int64(), _times=pa.int64())
     # Both are made from the histogram: at most one row a size, and a few for each group and configuration.
-    put = _ranked(parts.join(F.broadcast(sizes), "size"), "grp", ["id", "part_no"], total)
-    put = put.join(F.broadcast(plan), "grp").where("rank >= _from AND rank < _from + _number")
+    put = _ranked(parts.join(_bounded(sizes, len(rounded)), "size"), "grp", ["id", "part_no"], total)
+    put = put.join(_bounded(plan, len(places)), "grp").where("rank >= _from AND rank < _from + _number")
     put = materialise(put.select("id", "part_no", "first", "size", (F.col("_start") + (F.col("rank") - F.col("_from")) % F.col("_times")).alias("container")))
     load = materialise(put.groupBy("container").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("room")))
     moves, new = best_fit({r: n for r, n in _histogram(load, "room").items() if r}, small, capacity)
     steps = local_table(spark, moves, size=pa.int32(), _from=pa.int64(), _number=pa.int64(), room=pa.int32(), _first=pa.int64())
     fill = _ranked(parts.where((F.col("size") > 0) & (F.col("size") <= capacity // SMALL)), "size", ["id", "part_no"], total)
-    fill = fill.join(F.broadcast(steps), "size").where("rank >= _from AND rank < _from + _number").withColumn("place", F.col("_first") + F.col("rank") - F.col("_from"))
+    fill = fill.join(_bounded(steps, len(moves)), "size").where("rank >= _from AND rank < _from + _number").withColumn("place", F.col("_first") + F.col("rank") - F.col("_from"))
     opened = spark.range(start, start + new).select(F.col("id").alias("container"), F.lit(capacity + 1).alias("room"), (F.col("id") - start).alias("place"))
     found = _ranked(load.where("room > 0"), "room", ["container"], total).select("container", "room", F.col("rank").alias("place")).unionByName(opened)
     fill = fill.select("id", "part_no", "first", "size", "room", "place").join(found, ["room", "place"])
     columns = ["id", "part_no", "first", "size", "container"]
     none = parts.where("size = 0").withColumn("container", F.lit(0).cast("long"))
     return put.select(columns).unionByName(fill.select(columns)).unionByName(none.select(columns))
+
+
+def checked(assigned: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
+    """One row of facts about an assignment of items (id, n): sizes, containers against the least possible number, and what would be faults."""
+    loads = assigned.where("size > 0").groupBy("container").agg(F.sum("size").alias("load"))
+    load = loads.agg(F.count("*").alias("n_containers"), F.max("load").alias("most"), F.count_if(F.col("load") > capacity).alias("overfull"), F.coalesce(F.sum("load"), F.lit(0)).alias("units"))
+    parts = assigned.groupBy("id").agg(F.count("*").alias("parts"), F.sum("size").alias("placed"))
+    faults = items.select("id", F.coalesce("n", F.lit(0)).alias("n")).join(parts, "id", "full_outer").agg(
+        F.count("*").alias("n_items"),
+        F.count_if(~F.col("n").eqNullSafe(F.col("placed"))).alias("misplaced"),
+        F.count_if((F.col("n") <= capacity) & (F.col("parts") > 1)).alias("split_that_fit"),
+    )
+    one = load.crossJoin(faults)  # one row each
+    return one.select("n_items", "n_containers", F.ceil(F.col("units") / capacity).alias("least_containers"), "units", "most", "overfull", "misplaced", "split_that_fit")

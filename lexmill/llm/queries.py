@@ -56,6 +56,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.expand(*neardup.near_duplicates(_records(spark, sf_dir), size=3, similarity=(7, 10), min_words=120))
 
 
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that counts, with its class, its group and its number of pairs."""
+    return neardup.groups(*neardup.near_duplicates(_records(spark, sf_dir), size=3, similarity=(7, 10), min_words=120))
+
+
 def _long_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = table(spark, sf_dir, "document").select(F.lit("document").alias("item_table"), F.col("id").alias("item_id"), F.col("extracted_text").alias("text"))
     version = table(spark, sf_dir, "provision_version").select(F.lit("provision_version").alias("item_table"), F.col("id").alias("item_id"), "text")
@@ -87,6 +92,12 @@ def p9_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, 2048).select(F.col("id").alias("doc_id"), "part_no", F.col("first").alias("first_token"), F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment measured: no container over 2,048, no text split that fits, all tokens placed."""
+    sizes = materialise(tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.checked(materialise(packing.pack(sizes, 2048)), sizes, 2048)
+
+
 def _common(spark: SparkSession, sf_dir: str) -> frozenset[str]:
     """The table of function words does not grow."""
     return frozenset(r["word"].lower() for r in table(spark, sf_dir, "common_word").where("word IS NOT NULL").collect())
@@ -155,6 +166,13 @@ SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c
 """
 
 
+_P7_GROUPS = (
+    "WITH RECURSIVE" + _P7.lstrip().removeprefix("WITH").replace("SELECT id_a, id_b FROM c JOIN", ", pairs AS (SELECT id_a, id_b, c = x.n AND c = y.n AS same FROM c JOIN").rstrip()
+    + """), both_ AS (SELECT id_a AS a, id_b AS b, same FROM pairs UNION ALL SELECT id_b, id_a, same FROM pairs),
+r AS (SELECT id, id AS g FROM n UNION SELECT b, r.g FROM r JOIN both_ ON both_.a = r.id)
+SELECT n.id, least(n.id, coalesce((SELECT min(b) FROM both_ WHERE a = n.id AND same), n.id)) AS class_id, (SELECT min(g) FROM r WHERE r.id = n.id) AS group_id, (SELECT count(*) FROM both_ WHERE a = n.id) AS n_links FROM n"""
+)
+
 _P10 = r"""
 WITH c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_word WHERE word IS NOT NULL),
 t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
@@ -170,8 +188,8 @@ FROM n
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_offsets": p8_offsets, "p9_assigned": p9_assigned, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_accuracies": p10_accuracies}
+    return {"p1_found": p1_found, "p1_sequences": p1_sequences, "p1_clean": p1_clean, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p7_found": p7_found, "p7_groups": p7_groups, "p6_found": p6_found, "p6_pieces": p6_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_offsets": p8_offsets, "p9_assigned": p9_assigned, "p9_check": p9_check, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_accuracies": p10_accuracies}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p6_found": _P6, "p7_found": _P7, "p10_statistics": _P10}
+    return {"p1_found": _P1, "p6_found": _P6, "p7_found": _P7, "p7_groups": _P7_GROUPS, "p10_statistics": _P10}

@@ -93,3 +93,11 @@ def test_repeated_rows_and_empty(spark):
     text = " ".join(WORDS[:130])
     assert pairs(spark, [(1, None, text), (1, None, text), (2, None, text)]) == {(1, 2)}
     assert pairs(spark, []) == set()
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(7, k) for k in range(300, 340)]
+    pairs = spark.createDataFrame(chain + star + [(1, 900), (5, 900)], "a bigint, b bigint")
+    got = {r["rep"]: r["group"] for r in N.components(pairs).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {7: 7} | {k: 7 for k in range(300, 340)} | {1: 1, 5: 1, 900: 1}

@@ -67,3 +67,12 @@ def test_best_fit_places_every_rank_once(rooms, sizes):
 def test_groups_hold_alike_many():
     rounded = P.group_sizes({s: 10 for s in range(1, 101)}, 10)
     assert len(set(rounded.values())) == 10 and all(r >= s for s, r in rounded.items())
+
+
+def test_check_tells_faults(spark):
+    items = spark.createDataFrame([(1, 5), (2, 3), (3, 12), (4, None)], "id bigint, n bigint")
+    good = P.checked(P.pack(items, 10), items, 10).first().asDict()
+    assert (good["n_items"], good["overfull"], good["misplaced"], good["split_that_fit"], good["units"]) == (4, 0, 0, 0, 20)
+    bad = spark.createDataFrame([(1, 1, 0, 4, 7), (1, 2, 4, 1, 8), (2, 1, 0, 3, 7), (3, 1, 0, 12, 7)], "id bigint, part_no int, first bigint, size int, container bigint")
+    got = P.checked(bad, items, 10).first()
+    assert (got["overfull"], got["split_that_fit"], got["misplaced"], got["most"]) == (1, 1, 1, 19)

@@ -59,3 +59,13 @@ def test_decoding_and_offsets_over_tables(spark):
     assert {r["id"]: r["text"] for r in T.decode_ids(encoded).collect()} == {i: t or "" for i, t in rows}
     ids = {r["id"]: r["ids"] for r in encoded.collect()}
     assert {r["id"]: list(zip(r["starts"], r["ends"])) for r in T.token_offsets(df, "doc_id", "text").collect()} == {i: T.offsets(t or "", ids[i]) for i, t in rows}
+
+
+def test_every_white_space_at_a_cut():
+    """A text may be cut before a space only if no white space, of any kind, stands on either side in a way that the pre-tokenizer joins."""
+    encoder = T.Encoder()
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() or c in (0x180E, 0x200B, 0x1C, 0x1F)]
+    texts = [f"one{a} {b}two" for a in ["", *spaces] for b in ["", *spaces]] + [f"a {s} b" for s in spaces] + [f"{s} a" for s in spaces]
+    want = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    assert [T.decode(i) for i in want] == texts
