@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import catalogue, dealt, documents, incremental, reading
+from lexmill.plans import catalogue, dealt, documents, incremental, reading, upkeep
 
-_MODULES = (catalogue, dealt, documents, incremental, reading)
+_MODULES = (catalogue, dealt, documents, incremental, reading, upkeep)
 
 
 def queries() -> dict:
