@@ -101,7 +101,7 @@ def _hold(batches: Iterator[pa.RecordBatch], phrases: list[tuple[int, str]]) ->
     for batch in batches:
         docs, found = [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hits = {i for _, who in automaton.iter(text.lower()) for i in who}
+            hits = {i for _, who in automaton.iter(text.lower()) for i in who} if ids else set()
             docs += [doc] * len(hits)
             found += sorted(hits)
         yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], ["id", "phrase_id"])

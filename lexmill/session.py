@@ -113,6 +113,10 @@ def files_of(spark: SparkSession, root: str) -> Files:
     return Files(spark, root)
 
 
+#: Part of the names of maintained tables; it is raised when what builds them changes.
+FORMAT = 1
+
+
 def maintained(source: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """``build(source)`` as a table kept in the shared folder, made when it is first read; None if ``source`` is anything but a plain read of files.
 
@@ -131,7 +135,7 @@ def maintained(source: DataFrame, name: str, build: Callable[[DataFrame], DataFr
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         state.update(f"{f} {status.getLen()} {status.getModificationTime()}\n".encode())
     folder = f"{shared_dir(spark).rstrip('/')}/lexmill/maintained"
-    whole = f"{folder}/{name}-{state.hexdigest()[:32]}"
+    whole = f"{folder}/{name}-{FORMAT}-{state.hexdigest()[:32]}"
     files = files_of(spark, folder)
     if not files.fs.exists(files._path(f"{whole}/_SUCCESS")):
         aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
