@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.history import build_chains, changes
-from lexmill.session import maintained
+from lexmill.session import maintained, materialise
 
 
 def newest(*c: str) -> list[Column]:
@@ -188,18 +188,47 @@ def quality_flags(current: DataFrame) -> DataFrame:
     return rows.select("provision_id", "instrument_id", F.explode(named).alias("flag"))
 
 
+def in_ranges(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with _range: consecutive stretches of (group, order) of about equal size, so a group with a third of all rows has a third of the ranges."""
+    return materialise(rows.repartitionByRange(F.col(group).asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id()))
+
+
+def placed(ranged: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Rows of ``in_ranges`` with place, from 1 in each group: the place in the range and the sizes of the group's ranges before it."""
+    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    sizes = sizes.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    rows = ranged.withColumn("_within", within).join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return rows.withColumn("place", (F.col("_within") + F.col("_before")).cast("long")).drop("_within", "_before", "_g", "_r", "_range")
+
+
+def _reading() -> list[Column]:
+    return [F.col("sort_key").asc_nulls_last(), F.col("id").asc()]
+
+
 def chapters_carried(provision: DataFrame) -> DataFrame:
-    """Each provision with the chapter heading last seen before it in its instrument's order."""
-    w = Window.partitionBy("instrument_id").orderBy(F.col("sort_key").asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    p = unique_provisions(provision).withColumn("chapter", F.last(F.when(F.lower("level") == "chapter", F.col("number")), ignorenulls=True).over(w))
-    return p.select("id", "instrument_id", "number", "chapter")
+    """Each provision with the chapter heading last seen before it in its instrument's order: in its range, else the last one of the ranges before."""
+    p = in_ranges(unique_provisions(provision).select("id", "instrument_id", "number", "level", "sort_key"), "instrument_id", _reading())
+    own = F.when(F.lower("level") == "chapter", F.col("number"))
+    p = p.withColumn("_own", own)
+    w = Window.partitionBy("instrument_id", "_range").orderBy(*_reading()).rowsBetween(Window.unboundedPreceding, 0)
+    last = p.withColumn("_last", F.last("_own", ignorenulls=True).over(w)).withColumn("_at", F.row_number().over(Window.partitionBy("instrument_id", "_range").orderBy(*_reading())))
+    ends = last.groupBy("instrument_id", "_range").agg(F.max_by("_last", "_at").alias("_end"))
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy("instrument_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    ends = ends.select(F.col("instrument_id").alias("_g"), F.col("_range").alias("_r"), carried.alias("_carried"))
+    rows = last.join(ends, F.col("instrument_id").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return rows.select("id", "instrument_id", "number", F.coalesce("_last", "_carried").alias("chapter"))
 
 
 def neighbours(provision: DataFrame) -> DataFrame:
-    """Previous and next provision in reading order, chapters left out."""
-    w = Window.partitionBy("instrument_id").orderBy(F.col("sort_key").asc_nulls_last(), "id")
-    p = unique_provisions(provision).where("level IS NULL OR lower(level) <> 'chapter'")
-    return p.select("id", "instrument_id", F.lag("id").over(w).alias("before_id"), F.lead("id").over(w).alias("after_id"), F.row_number().over(w).alias("place"))
+    """Previous and next provision in reading order, chapters left out: those of the places before and after."""
+    rows = unique_provisions(provision).where("level IS NULL OR lower(level) <> 'chapter'").select("id", "instrument_id", "sort_key")
+    p = materialise(placed(in_ranges(rows, "instrument_id", _reading()), "instrument_id", _reading()).select("id", "instrument_id", "place"))
+    at = lambda by, name: p.select(F.col("instrument_id").alias(f"_g{name}"), (F.col("place") + by).alias(f"_p{name}"), F.col("id").alias(name))
+    for by, name in ((1, "before_id"), (-1, "after_id")):
+        p = p.join(at(by, name), F.col("instrument_id").eqNullSafe(F.col(f"_g{name}")) & (F.col("place") == F.col(f"_p{name}")), "left").drop(f"_g{name}", f"_p{name}")
+    return p.select("id", "instrument_id", "before_id", "after_id", "place")
 
 
 def around(provision: DataFrame, number: str, window: int = 60) -> DataFrame:
@@ -221,8 +250,9 @@ def natural_order(provision: DataFrame) -> DataFrame:
     """Places in legal number order within an instrument: 80 < 80A < 80AA, what has no number last."""
     n = F.when(F.col("number").rlike(r"^\s*\d{1,9}"), F.regexp_extract("number", r"^\s*(\d{1,9})", 1).cast("int"))
     suffix = F.upper(F.regexp_extract("number", r"^\s*\d{1,9}\s*([A-Za-z]*)", 1))
-    w = Window.partitionBy("instrument_id").orderBy(n.asc_nulls_last(), suffix, "id")
-    return unique_provisions(provision).select("id", "instrument_id", F.row_number().over(w).alias("place"))
+    rows = unique_provisions(provision).select("id", "instrument_id", n.alias("_n1"), suffix.alias("_n2"))
+    order = [F.col("_n1").asc_nulls_last(), F.col("_n2").asc_nulls_first(), F.col("id").asc()]
+    return placed(in_ranges(rows, "instrument_id", order), "instrument_id", order).select("id", "instrument_id", "place")
 
 
 def sitemap(provision: DataFrame, instrument: DataFrame, chains: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.catalogue import in_ranges, placed
+
 
 def instant(day: str) -> Column:
     """Midnight UTC of a day, whatever the session's zone."""
@@ -69,9 +71,10 @@ def keep_newest(rows: DataFrame, by: list[str], order: list[Column], n: int) ->
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def retention_candidates(rows: DataFrame, by: list[str], order: list[Column], n: int, protected: Column) -> DataFrame:
-    """Rows past the newest ``n`` of their group that nothing protects."""
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("_rn") > n) & ~F.coalesce(protected, F.lit(False))).drop("_rn")
+def retention_candidates(rows: DataFrame, by: str, order: list[Column], n: int, protected: Column, used: float = 1.0, armed: float = 0.7) -> DataFrame:
+    """Rows past the newest ``n`` of their group that nothing protects; none while less than ``armed`` of the budget is used. Groups of any size are placed range by range."""
+    found = placed(in_ranges(rows, by, order), by, order).where((F.col("place") > n) & ~F.coalesce(protected, F.lit(False))).drop("place")
+    return found if used >= armed else found.limit(0)
 
 
 def upsert(held: DataFrame, incoming: DataFrame, key: list[str], keep_old: list[str]) -> DataFrame:

@@ -84,8 +84,8 @@ def rate_limit(spark, d):
 
 
 def retention_candidates(spark, d):
-    doc = table(spark, d, "document")
-    rows = I.retention_candidates(doc, ["regulator_code"], C.newest("date_issued", "id"), 30, F.col("is_amending") | (F.col("doc_type") == "master_direction"))
+    doc = table(spark, d, "document").select("id", "regulator_code", "date_issued", "is_amending", "doc_type")
+    rows = I.retention_candidates(doc, "regulator_code", C.newest("date_issued", "id"), 200, F.col("is_amending") | (F.col("doc_type") == "master_direction"))
     return rows.select("id", "regulator_code")
 
 
@@ -200,7 +200,7 @@ SQL = {
     "page_views_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS path, count(*) AS views FROM events GROUP BY 1, 2",
     "json_payload": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS most FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) GROUP BY 1",
     "rate_limit": "SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1",
-    "retention_candidates": "SELECT id, regulator_code FROM (SELECT *, row_number() OVER (PARTITION BY regulator_code ORDER BY date_issued DESC NULLS LAST, id DESC) AS rn FROM document) WHERE rn > 30 AND NOT coalesce(is_amending OR doc_type = 'master_direction', false)",
+    "retention_candidates": "SELECT id, regulator_code FROM (SELECT *, row_number() OVER (PARTITION BY regulator_code ORDER BY date_issued DESC NULLS LAST, id DESC) AS rn FROM document) WHERE rn > 200 AND NOT coalesce(is_amending OR doc_type = 'master_direction', false)",
     "keep_newest_n": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 2",
     "forget_old": "SELECT event_type, count(*) AS rows, count(CASE WHEN ts >= TIMESTAMP '2024-06-01' THEN props END) AS kept_text FROM events GROUP BY 1",
     "refresh_actions": f"""WITH {HISTORY}, tx AS (SELECT hist.*, text FROM hist JOIN body USING (version_id)), norm AS (SELECT *, lower(trim(regexp_replace(regexp_replace(text, '[“”‘’"'']', '', 'g'), '\\s+', ' ', 'g'))) AS nt FROM tx),

@@ -69,3 +69,28 @@ def test_texts_that_hold_titles(spark, monkeypatch):
     phrases = spark.createDataFrame([(1, "ABC Act, 1999"), (2, "abc act, 1999"), (3, "DEF rules"), (4, ""), (5, None), (6, "Ghi")], "phrase_id bigint, phrase string")
     assert {tuple(r) for r in U.holding(texts, phrases).collect()} == {(1, 1), (1, 2), (1, 3)}
     assert U.holding(texts, phrases.limit(0)).count() == 0
+
+
+def test_places_over_ranges(spark):
+    """A group over many ranges is placed, carried forward and linked as if it were sorted in one task."""
+    from lexmill.operators import catalogue as C
+
+    rows = [(i, 1 if i % 3 else 2, f"Ch. {i}" if i % 17 == 0 else str(i), "chapter" if i % 17 == 0 else "section", None if i % 11 == 0 else i // 4) for i in range(400)] + [(900, None, "x", "section", 1)]
+    df = spark.createDataFrame(rows, "id bigint, instrument_id int, number string, level string, sort_key int")
+    want, carried, links = {}, {}, {}
+    for g in (1, 2, None):
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[4] is None, r[4] or 0, r[0]))
+        chapter, text = None, [r[0] for r in mine if r[3] != "chapter"]
+        for k, r in enumerate(mine):
+            chapter = r[2] if r[3] == "chapter" else chapter
+            want[r[0]], carried[r[0]] = k + 1, chapter
+        links |= {x: (text[k - 1] if k else None, text[k + 1] if k + 1 < len(text) else None, k + 1) for k, x in enumerate(text)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges would be joined
+    try:
+        ranged = C.in_ranges(df, "instrument_id", C._reading())
+        assert ranged.select("_range").distinct().count() > 2
+        assert {r["id"]: r["place"] for r in C.placed(ranged, "instrument_id", C._reading()).collect()} == want
+        assert {r["id"]: r["chapter"] for r in C.chapters_carried(df).collect()} == carried
+        assert {r["id"]: (r["before_id"], r["after_id"], r["place"]) for r in C.neighbours(df).collect()} == links
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

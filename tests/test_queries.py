@@ -6,6 +6,10 @@ from lexmill.plans import oracle_sql, queries
 from tests.compare import connect, same
 
 
+#: Values without a zone that another row of their record states with one are rare in the smallest tables.
+MAY_BE_EMPTY = {"p2_zones"}
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return connect(sf_dir)
@@ -18,7 +22,9 @@ def test_query(name, spark, sf_dir, duck):
     if name in oracle_sql():
         same(df, duck, oracle_sql()[name])
     else:
-        assert df.count() >= 0
+        rows = df.collect()
+        assert rows or name in MAY_BE_EMPTY
+        assert len({str(r) for r in rows}) == len(rows)
 
 
 def test_entry_has_all(spark):
