@@ -14,6 +14,7 @@ give equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -46,15 +47,22 @@ class Reader:
         self.common = common
         self.letters = regex.compile(r"[\p{L}\p{M}]+").findall
         self.item = regex.compile(r"^(?:[-*•–◦▪·]|\(?(?:[0-9]{1,3}|[ivxlcdm]{1,6}|[a-z])[.)])\s", regex.I).match
-        self.leader = regex.compile(r"(?:\.{4,}|(?:\. ){4,})\s*[0-9ivxl]*$", regex.I).search
         self.gaps = regex.compile(r"\S(?: {2,}|\t+)(?=\S)").findall
-        self.digits = regex.compile(r"\p{Nd}").findall
-        self.words = regex.compile(r"[^ \t\r\n]+").findall
+        self.digits = re.compile(r"\d").findall  # Unicode Nd
+        self.words = re.compile(r"[^ \t\r\n]+").findall
         #: What str.split takes for white space beside space, tab, CR and LF.
-        self.other_space = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-        self.odd = regex.compile(r"[\ufffd\p{Co}\p{Cn}\p{Cc}]").findall
-
-    def line(self, s: str, low: list[str], known: int, letters: int, words: list[str], digits: int) -> str:
+        self.other_space = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        #: The replacement character, private use, noncharacters and controls.
+        self.odd = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ue000-\uf8ff\ufdd0-\ufdef\ufff0-\uffff]").findall
+
+    @staticmethod
+    def leader(s: str) -> bool:
+        """Whether a line of lower case ends in dots that lead to a page number; read from its end, so that long rows of dots cost no more."""
+        head = s.rstrip("0123456789ivxl")
+        bare = head.rstrip()
+        return bare.endswith("....") or bare.endswith(". . . .") and head[len(bare) : len(bare) + 1] == " "
+
+    def line(self, s: str, low: list[str], known: int, letters: int, words: list[str], digits: int, gaps: int) -> str:
         """The kind of a stripped line that is not empty."""
         n, dense = len(s), sum(map(len, words))
         share = known / len(low) if low else 0.0
@@ -67,7 +75,6 @@ class Reader:
             return "list" if letters > 3 else "junk"
         if s.count("|") >= 2 and "||" not in s:
             return "table"
-        gaps = len(self.gaps(s)) if "\t" in s or "  " in s else 0
         if gaps >= 2 and len(words) <= 3 * (gaps + 1) and share < 0.15:
             return "table"
         if s.count(",") >= 2 and len(words) <= 3 and (digits or s.count(",") >= 3):
@@ -93,12 +100,11 @@ class Reader:
             return "junk"
         return "prose" if share >= 0.08 else "list"
 
-    def cells(self, s: str, words: list[str], commas: int, plain: int) -> bool:
+    def cells(self, s: str, words: list[str], commas: int, gaps: int, plain: int) -> bool:
         """Whether a line is cut by bars, tabs, wide gaps or commas into cells of few words, or rules such lines off."""
         if not plain:
             return "--" in s and ("|" in s or "+" in s)
         bars = s.count("|") if "||" not in s else 0
-        gaps = len(self.gaps(s)) if "\t" in s or "  " in s else 0
         return bars >= 2 or gaps >= 2 and len(words) <= 3 * (gaps + 1) or commas >= 2 and commas >= len(words) and len(s) <= 40 * (commas + 1)
 
     def text(self, text: str | None) -> list | None:
@@ -119,7 +125,8 @@ class Reader:
             known = sum(w in common for w in low)
             dense = sum(map(len, words))
             digits = 0 if letters == dense else sum(map(s.count, "0123456789")) if s.isascii() else len(self.digits(s))
-            weights[self.line(s, low, known, letters, words, digits)] += dense
+            gaps = len(self.gaps(s)) if "\t" in s or "  " in s else 0
+            weights[self.line(s, low, known, letters, words, digits, gaps)] += dense
             n_words += len(words)
             length += letters
             known_all += known
@@ -130,7 +137,7 @@ class Reader:
             ended += s[-1] in ".?!:;।"
             lines += 1
             commas = s.count(",")
-            if self.cells(s, words, commas, letters + digits):
+            if self.cells(s, words, commas, gaps, letters + digits):
                 cells += dense
             if self.leader(s):
                 leaders += dense
@@ -138,7 +145,7 @@ class Reader:
                 marks += dense
             strung += commas + s.count(";") + s.count("•") + s.count("/")
         total = max(1, sum(weights.values()))
-        odd = 0 if text.isascii() else sum(c not in _BLANK for c in self.odd(text))
+        odd = len(self.odd(text))
         return [
             n_words, dense_all / n_words, (dense_all - length - digits_all) / dense_all, ended / lines, known_all / letters_all if letters_all else 0.0,
             digits_all / dense_all, len(distinct) / n_words, n_words / lines, cells / dense_all, marks / dense_all, leaders / dense_all, strung / n_words, odd / dense_all,
